@@ -143,7 +143,8 @@ def mixed_documents(docs: DataFrame, block: int = 64, **options) -> DataFrame:
     taken = spans.withColumn("_key", key("h")).groupBy("_key", "at", "pass").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"))
     taken = taken.groupBy("_key").agg(F.collect_list(F.struct("start", "end")).alias("_taken"))
     # rows that share doc_id, text and source are alike: one stands for all, with what the mix takes from any of them
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col("text").cast("string").alias("_text"), "doc_id", F.col("source").cast("string").alias("source"), text_hash().alias("_h"))
+    others = [c for c in docs.columns if c != "text"]
+    own = docs.select(F.struct(*[docs[c] for c in others]).alias("_doc"), F.col("text").cast("string").alias("_text"), "doc_id", F.col("source").cast("string").alias("source"), text_hash().alias("_h"))
     own = own.select("_doc", "_text", key("_h").alias("_key"))
     joined = own.dropDuplicates(["_key"]).join(taken, "_key").select("_doc", "_text", "_taken")
 
@@ -160,7 +161,7 @@ def mixed_documents(docs: DataFrame, block: int = 64, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.string())], names=["_doc", "_text"])
 
     out = joined.select("_doc", "_text").schema
-    doc = F.col("_doc").withField("text", F.col("_text"))
-    if "n_chars" in docs.columns:
-        doc = doc.withField("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
-    return joined.mapInArrow(work, out).select(doc.alias("_doc")).select("_doc.*")
+    columns = {c: F.col(f"_doc.{c}") for c in others} | {"text": F.col("_text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return joined.mapInArrow(work, out).select(*[columns[c].alias(c) for c in docs.columns])

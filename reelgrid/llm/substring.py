@@ -100,13 +100,32 @@ def _ids(values: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([0 if v is None else v for v in values], np.int64), none
 
 
-ROW = "kind byte, anchor int, hash long, doc long, start long, tail int"
+#: What is shuffled: 32 bits of the anchor and, in known repeats and lone rows, as many that spread them; a hash of the
+#: words; the document; and start (30 bits), 27 bits of the text's hash, the number of windows (4) and the kind (2).
+ROW = "anchor long, hash long, doc long, rest long"
 
 
-def _rows(kind: np.ndarray, anchor: np.ndarray, hashed: np.ndarray, doc: np.ndarray, none: np.ndarray, start: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
-    """tail: 27 bits of the text's hash, which tell apart rows that share a doc_id, and 4 of the number of windows."""
-    columns = [pa.array(kind.astype(np.int8)), pa.array(anchor), pa.array(hashed), pa.array(doc, pa.int64(), mask=none), pa.array(start), pa.array(tail.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "anchor", "hash", "doc", "start", "tail"])
+def _rows(kind: np.ndarray, anchor: np.ndarray, hashed: np.ndarray, doc: np.ndarray, none: np.ndarray, start: np.ndarray, tail: np.ndarray, count: np.ndarray | int) -> pa.RecordBatch:
+    """tail: 27 bits of the text's hash, which tell apart rows that share a doc_id."""
+    spread = np.where(kind == SPAN, 0, (_mixed((doc * 1_000_003 + start).view(np.uint64)) >> np.uint64(33)).astype(np.int64) + 1)
+    rest = (start << 33) | (tail.astype(np.int64) << 6) | (np.asarray(count, np.int64) << 2) | kind
+    return pa.RecordBatch.from_arrays([pa.array((anchor.astype(np.int64) << 32) + spread), pa.array(hashed), pa.array(doc, pa.int64(), mask=none), pa.array(rest)], names=["anchor", "hash", "doc", "rest"])
+
+
+def _start() -> Column:
+    return F.shiftright("rest", 33)
+
+
+def _tail() -> Column:
+    return F.shiftright("rest", 6).bitwiseAND((1 << 27) - 1).cast("int")
+
+
+def _count() -> Column:
+    return F.shiftright("rest", 2).bitwiseAND(15).cast("int")
+
+
+def _kind() -> Column:
+    return F.col("rest").bitwiseAND(3)
 
 
 def _firsts(doc: np.ndarray, none: np.ndarray, start: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +146,7 @@ def _seeds(length: int, k: int):  # noqa: ANN202
                 if not len(s["doc"]):
                     continue
                 ids, none = _ids(keys[a:b])
-                doc, none, tail = ids[s["doc"]], none[s["doc"]], tails[a:b][s["doc"]] * 16 + s["count"]
+                doc, none, tail = ids[s["doc"]], none[s["doc"]], tails[a:b][s["doc"]]
                 order, first = _firsts(doc, none, s["start"], s["anchor"], s["span"])
                 anchor, kind = s["anchor"][order], np.where(first, SPAN, REPEAT)
                 # an anchor with many spans in this batch sends two of them to meet it: that shows that it has several
@@ -135,7 +154,7 @@ def _seeds(length: int, k: int):  # noqa: ANN202
                 new = np.r_[True, anchor[at][1:] != anchor[at][:-1]]
                 nth = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
                 kind[at[nth >= 2]] = LONE
-                yield _rows(kind, anchor, s["span"][order], doc[order], none[order], s["start"][order], tail[order])
+                yield _rows(kind, anchor, s["span"][order], doc[order], none[order], s["start"][order], tail[order], s["count"][order])
 
     return work
 
@@ -144,7 +163,7 @@ def _windows(length: int):  # noqa: ANN202
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = dict(zip(batch.schema.names, batch.columns, strict=True))
-            keys, texts, tails = col["_id"].to_pylist(), col["_text"].to_pylist(), col["_tail"].to_numpy()
+            keys, texts, tails = col["_id"].to_pylist(), col["text"].to_pylist(), col["_tail"].to_numpy()
             found = col["_found"]
             for a, b in runs_of(texts):
                 w, part = Words(texts[a:b]), found.slice(a, b - a)
@@ -158,44 +177,49 @@ def _windows(length: int):  # noqa: ANN202
                 if not len(doc):
                     continue
                 ids, none = _ids(keys[a:b])
-                ids, none, tail = ids[doc], none[doc], tails[a:b][doc] * 16 + 1
+                ids, none, tail = ids[doc], none[doc], tails[a:b][doc]
                 order, first = _firsts(ids, none, start, anchor, hashed)
-                yield _rows(np.where(first, SPAN, REPEAT), anchor[order], hashed[order], ids[order], none[order], start[order], tail[order])
+                yield _rows(np.where(first, SPAN, REPEAT), anchor[order], hashed[order], ids[order], none[order], start[order], tail[order], 1)
 
     return work
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """rows with later (whether an equal span or window comes before) and several (whether the anchor has other spans)."""
-    # known repeats need not meet: they are dealt by their place, with the others' one shuffle
-    dealt = rows.withColumn("_r", F.when(F.col("kind") == SPAN, F.lit(0).cast("long")).otherwise(F.xxhash64("doc", "start", "hash")))
-    place = F.struct(F.col("doc").isNotNull(), F.coalesce("doc", F.lit(0).cast("long")), F.col("start"))
-    same = Window.partitionBy("anchor", "_r", "hash").orderBy(F.col("doc").asc_nulls_first(), "start")
-    near = Window.partitionBy("anchor", "_r")
-    out = dealt.withColumn("_lead", F.first(place).over(same)).withColumn("several", F.min("hash").over(near) < F.max("hash").over(near))
-    return out.withColumn("later", (F.col("kind") == REPEAT) | ((F.col("kind") == SPAN) & (place > F.col("_lead")))).drop("_lead", "_r")
+    """rows with later (whether an equal span or window comes before) and several (whether the anchor has other spans), by one shuffle. Known repeats go along, spread."""
+    place = F.struct(F.col("doc").isNotNull(), F.coalesce("doc", F.lit(0).cast("long")), _start())
+    same = Window.partitionBy("anchor", "hash").orderBy(F.col("doc").asc_nulls_first(), "rest")
+    near = Window.partitionBy("anchor")
+    out = rows.withColumn("_lead", F.first(place).over(same)).withColumn("several", F.min("hash").over(near) < F.max("hash").over(near))
+    return out.withColumn("later", (_kind() == REPEAT) | ((_kind() == SPAN) & (place > F.col("_lead")))).drop("_lead")
+
+
+def _key(doc: Column, tail: Column) -> Column:
+    return F.xxhash64(doc.isNull(), doc, tail)
+
+
+def _own_tail() -> Column:
+    return text_hash().bitwiseAND((1 << 27) - 1).cast("int")
 
 
-def _key(doc: str, tail: Column) -> Column:
-    return F.xxhash64(F.col(doc).isNull(), F.col(doc), tail)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs, its text as a string, with _key, which names a document by its doc_id and text."""
+    return docs.withColumn("text", F.col("text").cast("string")).withColumn("_key", _key(F.col("doc_id").cast("long"), _own_tail()))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """docs with _id, _text, _tail and _key, and the repeats as (_key, start, count of windows)."""
+def repeats(own: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
+    """The repeats in what keyed() gives, as (_key, start, count of windows)."""
     if not 0 < k < length or length - k + 1 > 15:
         raise ValueError("an anchor is shorter than a window, by at most 14 words")
-    ready(docs.sparkSession)
-    own = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text", F.col("text").cast("string")).withColumn("_tail", text_hash().bitwiseAND((1 << 27) - 1).cast("int")).withColumn("_key", _key("_id", F.col("_tail")))
-    rows = own.select("_id", "_text", "_tail").mapInArrow(_seeds(length, k), ROW)
-    met = _judged(rows).where("later or kind = 1 or several")
-    met = saved(met.select("kind", "anchor", "doc", "start", "later", F.shiftright("tail", 4).alias("tail"), F.col("tail").bitwiseAND(15).alias("count")), "spans")
-    key = _key("doc", F.col("tail")).alias("_key")
-    whole = met.where("later").select(key, "start", "count")
-    parts = met.where("not later").groupBy(key).agg(F.collect_list(F.struct("anchor", "start", "count")).alias("_found"))
-    text = own.join(parts, "_key")
+    ready(own.sparkSession)
+    rows = own.select(F.col("doc_id").cast("long"), "text", _own_tail()).mapInArrow(_seeds(length, k), ROW)
+    met = _judged(rows).where((F.col("later")) | (_kind() == LONE) | F.col("several"))
+    met = saved(met.select(_key(F.col("doc"), _tail()).alias("_key"), F.when(~F.col("later"), F.shiftright("anchor", 32).cast("int")).alias("anchor"), _start().cast("int").alias("start"), _count().alias("count")), "spans")
+    whole = met.where("anchor is null").select("_key", "start", "count")
+    parts = met.where("anchor is not null").groupBy("_key").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("_found"))
+    # all columns of own take part, so that this join and the caller's read the texts from one shuffle
+    text = own.join(parts, "_key").withColumn("_id", F.col("doc_id").cast("long")).withColumn("_tail", _own_tail())
     windows = _judged(text.mapInArrow(_windows(length), ROW)).where("later")
-    windows = windows.select(_key("doc", F.shiftright("tail", 4)).alias("_key"), "start", F.lit(1).alias("count"))
-    return own, whole.unionByName(windows)
+    return whole.unionByName(windows.select(_key(F.col("doc"), _tail()).alias("_key"), _start().cast("int").alias("start"), _count().alias("count")))
 
 
 def covered(n: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
@@ -208,14 +232,14 @@ def covered(n: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.n
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """docs with kept_text (the words that stay, joined by one space), n_words, n_removed, and repeats: the maximal repeats as arrays of (start, end) in words."""
-    own, found = repeats(docs, length, k)
-    per = found.groupBy("_key").agg(F.collect_list(F.struct("start", "count")).alias("_found"))
-    joined = own.join(per, "_key", "left")
-    names = docs.columns
+    own = keyed(docs)
+    per = repeats(own, length, k).groupBy("_key").agg(F.collect_list(F.struct("start", "count")).alias("_found"))
+    joined = own.join(per, "_key", "left").drop("_key")
+    names, at = docs.columns, docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, spans_ = batch.column(len(names)), batch.column(len(names) + 1)
+            text, spans_ = batch.column(at), batch.column(len(names))
             kept, n_words, n_removed, maximal = [], [], [], []
             for i in range(len(text)):
                 words = (text[i].as_py() or "").encode("utf-8", "surrogatepass").split()
@@ -232,8 +256,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Data
             more = [pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(maximal, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], names=[*out.names])
 
-    out = StructType([*docs.schema.fields, *StructType.fromDDL("kept_text string, n_words long, n_removed long, repeats array<struct<start: long, end: long>>").fields])
-    return joined.select(*[F.col(c) for c in names], "_text", "_found").mapInArrow(work, out)
+    out = StructType([*joined.schema.fields[:-1], *StructType.fromDDL("kept_text string, n_words long, n_removed long, repeats array<struct<start: long, end: long>>").fields])
+    return joined.mapInArrow(work, out)
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
@@ -244,10 +268,10 @@ def digest(docs: DataFrame, **options) -> DataFrame:
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with their repeated passages cut from text; texts without any are unchanged. n_chars, if there, is counted anew."""
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), "doc_id", "text")
-    found = deduplicated(own, **options)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = deduplicated(docs.select(F.struct(*[docs[c] for c in others]).alias("_doc"), "doc_id", "text"), **options)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    doc = F.col("_doc").withField("text", text)
-    if "n_chars" in docs.columns:
-        doc = doc.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return found.select(doc.alias("_doc")).select("_doc.*")
+    columns = {c: F.col(f"_doc.{c}") for c in others} | {"doc_id": F.col("doc_id"), "text": text}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
