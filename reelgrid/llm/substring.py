@@ -231,11 +231,12 @@ def covered(n: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.n
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """docs with kept_text (the words that stay, joined by one space), n_words, n_removed, and repeats: the maximal repeats as arrays of (start, end) in words."""
-    own = keyed(docs)
+    """doc_id, text, doc (a struct of docs' other columns, if any), kept_text (the words that stay, joined by one space), n_words, n_removed, and repeats: the maximal repeats as arrays of (start, end) in words."""
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    own = keyed(docs.select("doc_id", "text", *([F.struct(*others).alias("doc")] if others else [])))
     per = repeats(own, length, k).groupBy("_key").agg(F.collect_list(F.struct("start", "count")).alias("_found"))
     joined = own.join(per, "_key", "left").drop("_key")
-    names, at = docs.columns, docs.columns.index("text")
+    names, at = joined.columns[:-1], joined.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,10 +269,8 @@ def digest(docs: DataFrame, **options) -> DataFrame:
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with their repeated passages cut from text; texts without any are unchanged. n_chars, if there, is counted anew."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = deduplicated(docs.select(F.struct(*[docs[c] for c in others]).alias("_doc"), "doc_id", "text"), **options)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    columns = {c: F.col(f"_doc.{c}") for c in others} | {"doc_id": F.col("doc_id"), "text": text}
+    columns = {c: F.col(f"doc.{c}") for c in docs.columns if c not in ("doc_id", "text")} | {"doc_id": F.col("doc_id"), "text": text}
     if "n_chars" in columns:
         columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return found.select(*[columns[c].alias(c) for c in docs.columns])
+    return deduplicated(docs, **options).select(*[columns[c].alias(c) for c in docs.columns])
