@@ -63,5 +63,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP7_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM later),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+def _op10_sql() -> str:
+    metrics = {"symbol_share": "n_symbols / greatest(word_chars, 1)", "mean_word": "word_chars / greatest(n_words, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)"}
+    values = ", ".join(f"CAST({e.split(' / ')[0]} AS DOUBLE) / {e.split(' / ')[1]} AS {m}" for m, e in metrics.items())
+    quantiles = lambda prefix: ", ".join(f"quantile_disc({m}, [0.25, 0.75]) AS {prefix}{m}" for m in metrics)
+    pick = lambda m: f"(CASE WHEN n >= 30 THEN g_{m} WHEN ln >= 30 THEN l_{m} ELSE c_{m} END)"
+    tests = []
+    for m, (low, high, slack) in quality.METRICS.items():
+        q = pick(m)
+        if low:
+            tests.append(f"coalesce({m} >= {q}[1] - ({q}[2] - {q}[1]) * 6.0 - {slack}, true)")
+        if high:
+            tests.append(f"coalesce({m} <= {q}[2] + ({q}[2] - {q}[1]) * 6.0 + {slack}, true)")
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS p FROM w)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS i FROM again) GROUP BY 1),
+s AS (SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {values} FROM s), ok AS (SELECT * FROM m WHERE NOT base_failed),
+g AS (SELECT lang, source, count(*) AS n, {quantiles("g_")} FROM ok GROUP BY ALL), l AS (SELECT lang, count(*) AS ln, {quantiles("l_")} FROM ok GROUP BY ALL), c AS (SELECT {quantiles("c_")} FROM ok)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(tests)} AS kept
+FROM m LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang CROSS JOIN c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no SimHash words, tokenizers or trained models: the other queries are tested against brute force, exact round trips or held-out labels."""
+    return {"op7_substring_dedup": OP7_SQL, "op10_quality_rules": _op10_sql()}
