@@ -218,7 +218,7 @@ def prj17_expand_rows(spark: SparkSession, d: str) -> DataFrame:
     return pixels.expand_rows(rows, c("height"), c("scale")).select("p_partkey", "k", "out_row")
 
 
-@query("""WITH r AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, l_suppkey % 4 AS value, l_linenumber AS count FROM lineitem)
+@query("""WITH r AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ord, l_suppkey % 4 AS value, l_linenumber AS count FROM lineitem)
 SELECT k, row_number() OVER (PARTITION BY k ORDER BY ord, i) - 1 AS pos, value FROM (SELECT *, unnest(range(count)) AS i FROM r)""")
 def prj18_expand_runs(spark: SparkSession, d: str) -> DataFrame:
     return pixels.expand_runs(_runs(spark, d), ["k"])
@@ -227,11 +227,11 @@ def prj18_expand_runs(spark: SparkSession, d: str) -> DataFrame:
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return fx.table(spark, d, "lineitem").select(c("l_orderkey").alias("k"), F.row_number().over(w).alias("ord"), (c("l_suppkey") % 4).alias("value"), c("l_linenumber").cast("bigint").alias("count"))
 
 
-@query("""WITH r AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, l_suppkey % 4 AS value FROM lineitem),
+@query("""WITH r AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ord, l_suppkey % 4 AS value FROM lineitem),
 n AS (SELECT *, CASE WHEN lag(value) OVER (PARTITION BY k ORDER BY ord) = value THEN 0 ELSE 1 END AS new FROM r), g AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY ord) - 1 AS run FROM n)
 SELECT k, CAST(run AS BIGINT) AS run, min(ord) - 1 AS start, count(*) AS count, min(value) AS value FROM g GROUP BY k, run""")
 def prj18_collapse_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -808,3 +808,122 @@ def doc12_stereo(spark: SparkSession, d: str) -> DataFrame:
 def doc12_saturating(spark: SparkSession, d: str) -> DataFrame:
     out = sound.saturating_cumsum(fx.codes(spark, d), ["packet"], ["ord"])
     return out.select("packet", F.size("samples").cast("bigint").alias("n"), F.aggregate("samples", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.element_at("samples", -1).alias("last"))
+
+
+# ---- binary layouts: bytes written from the tables by expressions, read back by the operators
+
+
+def _le(v: F.Column, n: int, big: F.Column | bool = False) -> F.Column:
+    """n bytes of an integer as hexadecimal digits, little-endian (or as the column big says)."""
+    digits = [F.lpad(F.hex(F.shiftright(v.cast("bigint"), 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(n)]
+    little = F.concat(*digits)
+    return little if big is False else F.when(big, F.concat(*reversed(digits))).otherwise(little)
+
+
+@query(f"""WITH {fx.CLIPS} SELECT clip_id, clip_id % 2 = 1 AS big_endian, 5 + clip_id % 2 AS version, 2000 + clip_id AS audio_block_size, frames, palette_size, clip_id % 640 AS x_res, -(clip_id % 480) AS y_res, has_audio, fps, clip_id * 100 AS area_0, -clip_id AS area_3 FROM clips WHERE clip_id % 7 > 0""")
+def src08_decode_header(spark: SparkSession, d: str) -> DataFrame:
+    k, big = c("clip_id"), c("clip_id") % 2 == 1
+    e = lambda v, n: _le(v, n, big)
+    header = [
+        F.lit("1600534F4C00"), e(5 + k % 2 + F.when(k % 7 == 0, 40).otherwise(0), 2), e(2000 + k, 2), e(F.lit(0), 2), F.lit("0000"), e(c("frames"), 2), e(c("palette_size"), 2), e(F.lit(0), 2), e(k % 640, 2), e(-(k % 480), 2),
+        F.lit("00"), F.when(c("has_audio"), "01").otherwise("00"), F.lit("0000"), e(c("fps"), 2), e(F.lit(1), 2), e(F.lit(2), 2), e(F.lit(3), 2), e(k * 100, 4), e(F.lit(5), 4), e(F.lit(6), 4), e(-k, 4), F.lit("00" * 8),
+    ]
+    out = files.decode_header(fx.clips(spark, d).select("clip_id", F.unhex(F.concat(*header)).alias("content")))
+    return out.select("clip_id", "big_endian", "version", "audio_block_size", "frames", "palette_size", "x_res", "y_res", "has_audio", "fps", "area_0", "area_3")
+
+
+@query("""WITH p AS (SELECT p_partkey // 500 AS volume, p_partkey % 4 AS rec, p_partkey % 65536 AS number, CAST(floor(p_retailprice * 10) AS BIGINT) AS "offset" FROM part)
+SELECT CASE rec WHEN 0 THEN 136 WHEN 1 THEN 135 WHEN 2 THEN 128 ELSE 131 END AS type, number, "offset", volume, rec, row_number() OVER (PARTITION BY volume, rec ORDER BY number) - 1 AS rec2 FROM p""")
+def src07_explode_fixed_records(spark: SparkSession, d: str) -> DataFrame:
+    k = c("p_partkey")
+    parts = fx.table(spark, d, "part").select(F.floor(k / 500).alias("volume"), (k % 4).alias("t"), (k % 65536).alias("number"), F.floor(c("p_retailprice") * 10).alias("o"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("number", "o"))), lambda s: F.concat(_le(s["number"], 2), _le(s["o"], 4)))
+    sections = parts.groupBy("volume", "t").agg(F.concat_ws("", rows).alias("hex"))
+    shard = sections.groupBy("volume").agg(F.array_sort(F.collect_list(F.struct("t", "hex"))).alias("s"))
+    n = F.size("s")
+    at = lambda i: (n + 1) * 3 + F.aggregate(F.slice("s", 1, i), F.lit(0), lambda a, x: a + (F.length(x["hex"]) / 2).cast("int"))
+    directory = F.concat_ws("", F.transform("s", lambda x, i: F.concat(_le(x["t"] + 128, 1), _le(at(i), 2))))
+    content = F.unhex(F.concat(directory, F.lit("FF"), _le(at(n), 2), F.concat_ws("", F.transform("s", lambda x: x["hex"]))))
+    maps = shard.select("volume", content.alias("content"))
+    directories = files.read_directory(maps)
+    sized = ordered.section_sizes(directories, ["volume"], ["ord"], c("file_size")).where("type <> 31")
+    width = maps.select("volume", F.lit(6).alias("width"))
+    return files.explode_fixed_records(maps, sized, width)
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 3 AS kind, o_orderkey % 65536 AS number, o_custkey % 200 + 1 AS n, 200 AS room FROM orders)
+SELECT o_orderkey, CASE kind WHEN 0 THEN '13' WHEN 1 THEN '10' ELSE '6' END AS dialect, CASE kind WHEN 0 THEN n % 33 WHEN 1 THEN n % 9 ELSE 0 END AS method, n AS packed_size, CASE kind WHEN 0 THEN n * 2 WHEN 1 THEN n * 3 ELSE n END AS size,
+CAST(NULL AS VARCHAR) AS reason FROM o WHERE n <= 150""")
+def src09_decode_resource_header(spark: SparkSession, d: str) -> DataFrame:
+    k, n = c("o_orderkey"), c("n")
+    rows = fx.table(spark, d, "orders").select("o_orderkey", (c("o_custkey") % 200 + 1).alias("n")).where("n <= 150")
+    long = F.concat(F.lit("00"), _le(k % 65536, 2), _le(n, 4), _le(n * 2, 4), _le(n % 33, 2))
+    mid = F.concat(F.lit("81"), _le(k % 65536, 2), _le(n, 3), _le(n % 9, 1), _le(n * 3, 3), F.lit("FFFFFF"))
+    short = F.concat(F.lit("01"), _le(k % 65536, 2), _le(n, 3), F.lit("FFFFFFFFFFFFFF"))
+    content = F.unhex(F.concat(F.when(k % 3 == 0, long).when(k % 3 == 1, mid).otherwise(short), F.lit("00" * 200)))
+    out = files.decode_resource_header(rows.select("o_orderkey", content.alias("content"), F.lit(0).alias("offset"), F.lit(213).cast("bigint").alias("volume_size")))
+    return out.select("o_orderkey", "dialect", "method", "packed_size", "size", "reason")
+
+
+@query(f"""WITH {fx.CELS}, n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame_no, cel_no) - 1 AS rec, chunks % 40 AS ds FROM cels), s AS (SELECT *, 2 + coalesce(sum(22 + ds) OVER (PARTITION BY clip_id ORDER BY rec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM n)
+SELECT clip_id, rec, CAST(pos AS BIGINT) AS rec_pos, ds AS rec_size, w, h, x, y FROM s""")
+def src10_explode_chained(spark: SparkSession, d: str) -> DataFrame:
+    ds = c("chunks") % 40
+    one = F.concat(F.lit("0064"), _le(c("w"), 2), _le(c("h"), 2), F.lit("00000000"), _le(c("x"), 2), _le(c("y"), 2), _le(ds, 2), _le(F.lit(1), 2), F.lit("00000000"), F.repeat(F.lit("AB"), ds.cast("int")))
+    frames = fx.cels(spark, d).select("clip_id", "frame_no", "cel_no", one.alias("hex")).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "cel_no", "hex"))).alias("s"))
+    blob = frames.select("clip_id", F.unhex(F.concat(_le(F.size("s"), 2), F.concat_ws("", F.transform("s", lambda x: x["hex"])))).alias("content"))
+    chain = files.explode_chained(blob, c("content"), F.lit(2), by.u16(c("content"), 0), size_at=14, most=1000)
+    return files.decode_cels(chain, c("content"), c("rec_pos")).select("clip_id", "rec", "rec_pos", "rec_size", "w", "h", "x", "y")
+
+
+@query(f"WITH {fx.CLIPS} SELECT clip_id, CAST(i AS INTEGER) AS cue_no, clip_id * 7 + i * 3 - 900 AS t, (clip_id * 31 + i * 257) % 65536 AS v FROM clips, range(256) r(i)")
+def src12_explode_cues(spark: SparkSession, d: str) -> DataFrame:
+    k, big, i256 = c("clip_id"), c("clip_id") % 2 == 1, F.sequence(F.lit(0), F.lit(255))
+    t = F.concat_ws("", F.transform(i256, lambda i: _le(k * 7 + i * 3 - 900, 4, big)))
+    v = F.concat_ws("", F.transform(i256, lambda i: _le((k * 31 + i * 257) % 65536, 2, big)))
+    rows = fx.clips(spark, d).select("clip_id", big.alias("big"), F.unhex(F.concat(t, v)).alias("content"))
+    return files.explode_cues(rows, c("content"), F.lit(0), c("big"))
+
+
+# ---- rows of the inventory that share an operator with another
+
+
+@query(f"WITH {fx.CODES} SELECT code, code % 32 AS low5, code % 128 AS low7, code // 128 AS top, count(*) AS n FROM codes GROUP BY ALL")
+def fn03_masks(spark: SparkSession, d: str) -> DataFrame:
+    return fx.codes(spark, d).groupBy("code", by.bits(c("code"), 0x1F).alias("low5"), by.bits(c("code"), 0x7F).alias("low7"), by.bits(c("code"), 1, 7).alias("top")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, lower(to_hex(o_orderkey)) AS hex FROM orders")
+def fn05_hex(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "orders").select("o_orderkey", by.hex_lower(c("o_orderkey")).alias("hex"))
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/\\\\]+)$', 1) AS name, regexp_extract(regexp_extract(url, '([^/\\\\]+)$', 1), '^(.*?)(?:\\.[^.]*)?$', 1) AS stem, regexp_extract(regexp_extract(url, '([^/\\\\]+)$', 1), '^([^.]*)', 1) AS first FROM pages")
+def fn07_path_parts(spark: SparkSession, d: str) -> DataFrame:
+    u = c("url")
+    return fx.table(spark, d, "pages").select("page_id", ft.file_name(u).alias("name"), ft.stem(u).alias("stem"), ft.stem(u, last_dot=False).alias("first"))
+
+
+@query(f"""WITH {fx.POSITIONS}, m AS (SELECT clip_id, x, 0 AS prio FROM positions WHERE clip_id < 12 UNION ALL SELECT s_suppkey % 30, s_suppkey % 300, 1 FROM supplier WHERE s_suppkey % 30 NOT IN (SELECT clip_id FROM positions WHERE clip_id < 12)) SELECT clip_id, count(*) AS n, CAST(sum(x) AS BIGINT) AS total, max(prio) = 1 AS added FROM m GROUP BY 1""")
+def set03_keyed_union(spark: SparkSession, d: str) -> DataFrame:
+    k = c("s_suppkey")
+    extra = fx.table(spark, d, "supplier").select((k % 30).alias("clip_id"), (k % 300).alias("x"))
+    merged = keyed.merge_missing(fx.positions(spark, d).where("clip_id < 12").select(c("clip_id").cast("bigint").alias("clip_id"), "x"), extra, ["clip_id"])
+    return merged.groupBy("clip_id").agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.bool_or("added").alias("added"))
+
+
+@query(f"WITH {fx.CODES} SELECT DISTINCT code FROM codes")
+def set04_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return fx.codes(spark, d).select("code").distinct()
+
+
+@query(f"""WITH {fx.CLIPS}, {fx.CELS}, {_EXTENTS} SELECT clip_id, frames, fps, CASE WHEN fps > 0 THEN round(frames / CAST(fps AS DOUBLE), 2) END AS seconds, max_w AS canvas_w, max_h AS canvas_h, CAST(NULL AS INTEGER) AS x, CAST(NULL AS INTEGER) AS y, has_audio, palette_size // 3 AS colours FROM clips LEFT JOIN ext USING (clip_id)""")
+def snk07_clip_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of clips of which none has a position."""
+    nowhere = fx.positions(spark, d).where("false").select(c("clip_id").cast("bigint").alias("clip_id"), c("x").cast("int").alias("x"), c("y").cast("int").alias("y"))
+    return reports.clip_metadata(fx.clips(spark, d), pixels.max_extents(fx.cels(spark, d), ["clip_id"]), nowhere)
+
+
+@query(f"WITH {fx.CELS} SELECT clip_id, frame_no, cel_no, CAST(trunc(x * w / 128.0) AS BIGINT) AS scaled FROM cels")
+def doc10_manual_scale(spark: SparkSession, d: str) -> DataFrame:
+    return fx.cels(spark, d).select("clip_id", "frame_no", "cel_no", fc.manual_scale(c("x"), c("w")).alias("scaled"))

@@ -29,17 +29,17 @@ PALETTE = "palette AS (SELECT CAST(i AS INTEGER) AS idx, 7 * i % 256 AS r, (13 *
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of clips: clip_id, frame_no, packet_size, video_size."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     size = F.col("l_quantity").cast("int")
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip_id"), (F.row_number().over(w) - 1).alias("frame_no"), size.alias("packet_size"), F.greatest(F.lit(0), size - 3 * F.col("l_linenumber")).alias("video_size"))
 
 
-PACKETS = "packets AS (SELECT l_orderkey AS clip_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS frame_no, CAST(floor(l_quantity) AS INTEGER) AS packet_size, greatest(0, CAST(floor(l_quantity) AS INTEGER) - 3 * l_linenumber) AS video_size FROM lineitem)"
+PACKETS = "packets AS (SELECT l_orderkey AS clip_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS frame_no, CAST(floor(l_quantity) AS INTEGER) AS packet_size, greatest(0, CAST(floor(l_quantity) AS INTEGER) - 3 * l_linenumber) AS video_size FROM lineitem)"
 
 
 def cels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cels: clip_id, frame_no, cel_no, x, y, w, h, data_size, chunks, count, video_size, width, fragment_no."""
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     c = F.col
     return table(spark, sf_dir, "lineitem").select(
         c("l_orderkey").alias("clip_id"), c("l_linenumber").alias("frame_no"), (F.row_number().over(w) - 1).alias("cel_no"), (c("l_partkey") % 720 - 40).alias("x"), (c("l_suppkey") * 7 % 520 - 30).alias("y"), (c("l_partkey") * 3 % 660).alias("w"), (c("l_suppkey") * 5 % 490).alias("h"),
@@ -47,7 +47,7 @@ def cels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("*", c("w").alias("width"), c("cel_no").alias("fragment_no"))
 
 
-CELS = "cels AS (SELECT *, w AS width, cel_no AS fragment_no FROM (SELECT l_orderkey AS clip_id, l_linenumber AS frame_no, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) - 1 AS cel_no, l_partkey % 720 - 40 AS x, l_suppkey * 7 % 520 - 30 AS y, l_partkey * 3 % 660 AS w, l_suppkey * 5 % 490 AS h, CAST(floor(l_extendedprice * 3) AS BIGINT) AS data_size, CAST(floor(l_quantity * 2 + 3) AS BIGINT) AS chunks, l_linenumber + l_suppkey % 8 AS count, CAST(floor(l_extendedprice * 20) AS BIGINT) AS video_size FROM lineitem))"
+CELS = "cels AS (SELECT *, w AS width, cel_no AS fragment_no FROM (SELECT l_orderkey AS clip_id, l_linenumber AS frame_no, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS cel_no, l_partkey % 720 - 40 AS x, l_suppkey * 7 % 520 - 30 AS y, l_partkey * 3 % 660 AS w, l_suppkey * 5 % 490 AS h, CAST(floor(l_extendedprice * 3) AS BIGINT) AS data_size, CAST(floor(l_quantity * 2 + 3) AS BIGINT) AS chunks, l_linenumber + l_suppkey % 8 AS count, CAST(floor(l_extendedprice * 20) AS BIGINT) AS video_size FROM lineitem))"
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
