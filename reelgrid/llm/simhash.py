@@ -233,8 +233,9 @@ def hexadecimal(fp: str = "fp") -> Column:
 
 def one_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the least doc_id."""
-    keep = grouped(docs).where("keeper").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    own = docs.withColumn("_t", text_hash())
-    left = own.join(keep, own["doc_id"].eqNullSafe(keep["_id"]) & (own["_t"] == keep["_h"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy(F.lit(1)))
-    return left.withColumn("_n", first).where("_n = 1").drop("_n", "_t")
+    # two hashes name a row, so that the join and the choice among equal rows share one shuffle of the texts
+    name = lambda h: F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), h).alias("_k")
+    keep = grouped(docs).where("keeper").select(name(F.col("h")), F.col("h").alias("_t")).distinct()
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), name(text_hash()), text_hash().alias("_t"))
+    first = F.row_number().over(Window.partitionBy("_k", "_t").orderBy(F.lit(1)))
+    return own.join(keep, ["_k", "_t"], "left_semi").withColumn("_n", first).where("_n = 1").select("_doc.*")
