@@ -69,7 +69,7 @@ def placed(sized: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     return joined.select("doc_id", "source", "size", "h", (F.col("_base") + F.col("_in")).alias("at"))
 
 
-def schedule(per: DataFrame, block: int, chunk: int = 1 << 16, cells: int = 4096) -> DataFrame:
+def schedule(per: DataFrame, block: int, chunk: int = 1 << 13, cells: int = 4096) -> DataFrame:
     """slot, rank (the source's), r: each source's slots, ranked in order; as many as its quota needs."""
     per = saved(per.where("quota > 0").select("rank", F.ceil(F.col("quota") / F.lit(block)).cast("long").alias("n")), "quota")
     spark = per.sparkSession
