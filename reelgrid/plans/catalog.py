@@ -616,8 +616,8 @@ def src06_parse_position_lines(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {fx.CELS}, {fx.PALETTE} SELECT k AS clip_id, i AS idx, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM (SELECT DISTINCT clip_id % 5 AS k FROM cels) CROSS JOIN range(256) t(i) LEFT JOIN palette ON palette.idx = i AND (i + k) % 3 > 0")
 def src11_palette_dimension(spark: SparkSession, d: str) -> DataFrame:
     some = fx.cels(spark, d).select((c("clip_id") % 5).alias("clip_id")).distinct()
-    listed = some.crossJoin(F.broadcast(fx.palette(spark))).where((c("idx") + c("clip_id")) % 3 > 0)  # 256 colours
-    return palettes.full_palette(listed, ["clip_id"]).unionByName(some.where("false").select("clip_id", *[F.lit(0).alias(x) for x in ("idx", "r", "g", "b")]))
+    every = some.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(255))))
+    return palettes.full_palette(pixels.apply_palette(every, fx.palette(spark)).where((c("idx") + c("clip_id")) % 3 > 0), ["clip_id"])
 
 
 @query(f"""WITH {fx.INDEX}, s AS (SELECT *, row_number() OVER (PARTITION BY number % 50 ORDER BY rec, volume, rec2, "offset", type) AS n FROM idx), t AS (SELECT number % 50 AS g, n, rec, volume, rec2, "offset", type, CASE WHEN number % 50 > 25 THEN "offset" * 2000 ELSE "offset" END AS o6, 128 + number % 24 AS type9, number AS number9, CASE WHEN number % 3 = 0 THEN 0 ELSE n * 10 + number % 7 * (number % 50) END AS o9 FROM s WHERE n <= 100),

@@ -35,10 +35,9 @@ def resolve_order(frames: DataFrame, by: list[str], order: list[str], plausible:
     frames: a_size and b_size (the two tables) in order, and what plausible reads from them. plausible may use cand_pos (the
     record's place) and cand_base. Candidates are tried as (0, A), (0, B), (6, A), (6, B); the first of the best wins.
     """
-    spark = frames.sparkSession
     top = head_per_group(frames, by, order, first)
-    tried = spark.createDataFrame([(0, 0, "A"), (1, 0, "B"), (2, 6, "A"), (3, 6, "B")], "cand int, cand_base int, cand_order string")
-    every = top.crossJoin(F.broadcast(tried))  # four rows
+    tried = F.array(*[F.struct(F.lit(i).alias("cand"), F.lit(b).alias("cand_base"), F.lit(o).alias("cand_order")) for i, (b, o) in enumerate(((0, "A"), (0, "B"), (6, "A"), (6, "B")))])
+    every = top.withColumn("_c", F.explode(tried)).select("*", "_c.*").drop("_c")
     every = every.withColumn("cand_size", F.when(F.col("cand_order") == "A", F.col("b_size")).otherwise(F.col("a_size")))
     every = record_offsets(every, [*by, "cand"], order, "cand_size", F.col("cand_base"), 1).withColumnRenamed("record_pos", "cand_pos")
     votes = every.groupBy(*by, "cand", "cand_base", "cand_order").agg(F.count_if(plausible).alias("score"))
