@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from itertools import chain
 
 import numpy as np
 
 #: Words kept per worker before it starts anew: about 150 bytes each.
 KEPT_WORDS = 1_000_000
+#: Units encoded as one text.
+TOGETHER = 64
 _SPACE_RUN = re.compile(r" \s")
 _COMBINING = re.compile("[̀-ͯ]")
 _BEFORE_STOP = re.compile(rb"(?<=[a-z0-9])(?=[.,])")
@@ -41,14 +44,20 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.unit = unit
         self.kept: dict = {}
+        vocabulary, end = self.tokenizer.get_vocab(), "</w>" if unit == "word" else ""
+        self._sizes, self._final = np.zeros(max(vocabulary.values()) + 1, np.int64), np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():  # one character stands for one byte
+            self._final[i] = token.endswith(end)
+            self._sizes[i] = len(token.removesuffix(end))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _units(self, text: str) -> list | None:
         if self.unit == "space" and not _SPACE_RUN.search(text):
-            head, *rest = text.split(" ")
-            return ([head] if head else []) + [" " + w for w in rest]
+            if "\0" not in text:
+                units = text.replace(" ", "\0 ").split("\0")
+                return units if units[0] else units[1:]
         if self.unit == "word" and (text.isascii() or not _COMBINING.search(text)):
             return _BEFORE_STOP.sub(b" ", text.encode().lower()).split()
         return None
@@ -60,15 +69,36 @@ class Encoder:
             if len(self.kept) + len(fresh) > KEPT_WORDS:
                 self.kept.clear()
                 fresh = set(chain.from_iterable(u for u in units if u is not None))
-            fresh = list(fresh)
-            for at in range(0, len(fresh), 20_000):
-                self._learn(fresh[at : at + 20_000])
+            self._learn(fresh)
         get = self.kept.__getitem__
         return [self._whole(t) if u is None else b"".join(map(get, u)) for t, u in zip(texts, units, strict=True)]
 
-    def _learn(self, words: list) -> None:
-        strings = [w.decode() for w in words] if self.unit == "word" else words
-        found = self.tokenizer.encode(strings, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(found.ids, self.dtype).tobytes(), np.array([-1 if x is None else x for x in found.word_ids])
-        cuts = (np.searchsorted(of, np.arange(len(words) + 1)) * self.dtype.itemsize).tolist()
-        self.kept.update((w, ids[cuts[i] : cuts[i + 1]]) for i, w in enumerate(words))
+    def _learn(self, fresh: set) -> None:
+        """Ids of new units. Units are encoded some at a time as one text, which costs the library far less than one by one; the tokens' lengths in bytes tell where each unit's ids end. A text whose tokens do not end where its units do is encoded unit by unit."""
+        if self.unit == "space":
+            whole = [w for w in fresh if w[0] == " " and not w[-1].isspace()]
+            alone = [w for w in fresh if w[0] != " " or w[-1].isspace()]
+            sizes = [len(w) if w.isascii() else len(w.encode()) for w in whole]
+            glue, texts = "", whole
+        else:
+            whole, alone = list(fresh), []
+            texts = [w.decode() for w in whole]
+            sizes = [len(w) if w.isascii() else len(unicodedata.normalize("NFC", t).lower().encode()) for w, t in zip(whole, texts, strict=True)]
+            glue = " "
+        starts = range(0, len(whole), TOGETHER)
+        for a, found in zip(starts, self._encode([glue.join(texts[a : a + TOGETHER]) for a in starts]), strict=True):
+            ids = np.array(found, np.int64)
+            ends = np.cumsum(sizes[a : a + TOGETHER])
+            at = np.cumsum(self._sizes[ids])
+            cuts = np.searchsorted(at, ends)
+            if len(at) and at[-1] == ends[-1] and (at[cuts] == ends).all() and self._final[ids[cuts]].all():
+                data = ids.astype(self.dtype).tobytes()
+                to = ((cuts + 1) * self.dtype.itemsize).tolist()
+                self.kept.update(zip(whole[a : a + TOGETHER], map(data.__getitem__, map(slice, [0, *to[:-1]], to)), strict=True))
+            else:
+                alone += whole[a : a + TOGETHER]
+        texts = [w.decode() for w in alone] if self.unit == "word" else alone
+        self.kept.update((w, np.array(i, self.dtype).tobytes()) for w, i in zip(alone, self._encode(texts), strict=True))
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
