@@ -80,13 +80,13 @@ def thresholds(stats: DataFrame, width: float = 6.0, least: int = 30, accuracy:
 
     groups = level("lang", "source")
     languages = level("lang").select(F.col("lang").alias("_l"), F.col("n").alias("_ln"), *[F.col(m).alias(f"_l_{m}") for m in METRICS])
-    corpus = values.agg(*[F.percentile_approx(m, [0.25, 0.75], accuracy).alias(f"_c_{m}") for m in METRICS])
+    corpus = values.agg(*sketch).first()  # one row
     every = stats.select("lang", "source").distinct()
     found = lookup(every, groups, ["lang", "source"])
-    found = lookup(found, languages.withColumnRenamed("_l", "lang"), ["lang"]).crossJoin(F.broadcast(corpus))  # corpus is one row
+    found = lookup(found, languages.withColumnRenamed("_l", "lang"), ["lang"])
     out = []
     for m, (low, high, slack) in METRICS.items():
-        q = F.when(F.col("n") >= least, F.col(m)).when(F.col("_ln") >= least, F.col(f"_l_{m}")).otherwise(F.col(f"_c_{m}"))
+        q = F.when(F.col("n") >= least, F.col(m)).when(F.col("_ln") >= least, F.col(f"_l_{m}")).otherwise(F.lit(corpus[m]).cast("array<double>"))
         iqr = F.get(q, F.lit(1)) - F.get(q, F.lit(0))
         if low:
             out.append((F.get(q, F.lit(0)) - iqr * width - slack).alias(f"low_{m}"))
