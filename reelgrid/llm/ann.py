@@ -97,7 +97,7 @@ def fit_share(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int,
     return float(np.quantile(shares, recall_target)) if shares else 1.0
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall_target: float = 0.97, sample: int = 20_000, cell_entries: int = 64, most_centres: int = 256, shard_entries: int = 16_384) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall_target: float = 0.97, sample: int = 20_000, cell_entries: int = 64, most_centres: int = 256, shard_entries: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance): the k nearest found of each row of queries.
 
     sample bounds the rows that the codebooks and the visited share are fitted on; most_centres bounds a codebook, and so
