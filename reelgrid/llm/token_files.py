@@ -103,7 +103,8 @@ def read_token_files(spark: SparkSession, folder: str, parts: DataFrame, docs_at
                         names=["doc_id", "start", "n_tokens", "ids_crc32", "part"],
                     )
 
-    listed = parts.select("part", "n_docs", "n_tokens", "width", "base").repartition("part")
+    # a row stands for a file: by number, so that few bytes of rows are not taken for little work and put in one task
+    listed = parts.select("part", "n_docs", "n_tokens", "width", "base").repartition(max(1, parts.count()), "part")
     return listed.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long, part int")
 
 
