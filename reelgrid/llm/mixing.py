@@ -15,6 +15,7 @@ documents of their own. Extra columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -54,9 +55,9 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return out.withColumn("quota", F.floor(F.col("target") + 1e-6).cast("long"))
 
 
-def placed(sized: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
-    """sized with at: the words of its source before it, in the order of a hash of doc_id."""
-    buckets = max(1, -(-sized.count() // bucket_rows))
+def placed(sized: DataFrame) -> DataFrame:
+    """sized with at: the words of its source before it, in the order of a hash of doc_id. There are as many buckets as rows in a bucket, so a task of either level grows with the root of the input only."""
+    buckets = max(1, math.isqrt(sized.count()))
     # buckets are ranges of the order's first key, so that the order within and over buckets is one order
     top = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 33)
     rows = sized.withColumn("_o", top).withColumn("_b", F.floor(F.col("_o") * F.lit(buckets) / F.lit(float(1 << 31))))
@@ -69,11 +70,12 @@ def placed(sized: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     return joined.select("doc_id", "source", "size", "h", (F.col("_base") + F.col("_in")).alias("at"))
 
 
-def schedule(per: DataFrame, block: int, chunk: int = 1 << 13, cells: int = 4096) -> DataFrame:
+def schedule(per: DataFrame, block: int, cells: int = 4096) -> DataFrame:
     """slot, rank (the source's), r: each source's slots, ranked in order; as many as its quota needs."""
     per = saved(per.where("quota > 0").select("rank", F.ceil(F.col("quota") / F.lit(block)).cast("long").alias("n")), "quota")
     spark = per.sparkSession
     total = per.agg(F.sum("n")).first()[0] or 0
+    chunk = max(1, math.isqrt(total))  # as many chunks as slots in a chunk
     every = Window.orderBy("rank")
     share = per.withColumn("_hi", F.floor(F.sum("n").over(every) / F.lit(max(1, total)) * F.lit(float(ONE))).cast("long"))
     share = share.withColumn("_lo", F.lag("_hi", 1, 0).over(every)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / (ONE // cells)), F.floor(F.greatest(F.col("_hi") - 1, F.col("_lo")) / (ONE // cells)))))
