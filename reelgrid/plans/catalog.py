@@ -64,7 +64,7 @@ LUMA = "CASE WHEN idx = 255 THEN 0 ELSE CAST(trunc(CAST(0.299 AS FLOAT) * CAST(r
 
 @query(f"""WITH {COLOURED}, f AS (SELECT *, {LUMA} AS luma FROM col)
 SELECT clip_id, min(x) FILTER (idx <> 255) AS min_x, min(y) FILTER (idx <> 255) AS min_y, max(x) FILTER (idx <> 255) AS max_x, max(y) FILTER (idx <> 255) AS max_y,
-count(*) FILTER (idx < 236) AS base_pixels, sum(luma) FILTER (idx < 236) AS base_luma, count(*) FILTER (idx BETWEEN 236 AND 254) AS remap_pixels, sum(luma) FILTER (idx BETWEEN 236 AND 254) AS remap_luma FROM f GROUP BY clip_id""")
+count(*) FILTER (idx < 236) AS base_pixels, CAST(sum(luma) FILTER (idx < 236) AS BIGINT) AS base_luma, count(*) FILTER (idx BETWEEN 236 AND 254) AS remap_pixels, CAST(sum(luma) FILTER (idx BETWEEN 236 AND 254) AS BIGINT) AS remap_luma FROM f GROUP BY clip_id""")
 def flagship_clip_boxes(spark: SparkSession, d: str) -> DataFrame:
     """For each clip, the visible box and the luminance of its layers."""
     df = _coloured(spark, d).withColumn("luma", pixels.luminance(c("r"), c("g"), c("b"), c("idx"))).withColumn("kind", pixels.classify_pixel(c("idx")))
@@ -87,12 +87,12 @@ def _sums(df: DataFrame, names: list[str]) -> DataFrame:
     return df.groupBy("clip_id", "frame_no").agg(*[F.sum(n).alias(n) for n in names])
 
 
-@query(f"WITH {_layer_sql('A')} SELECT clip_id, frame_no, {', '.join(f'sum({n}) AS {n}' for n in _SUMS)} FROM lay GROUP BY ALL")
+@query(f"WITH {_layer_sql('A')} SELECT clip_id, frame_no, {', '.join(f'CAST(sum({n}) AS BIGINT) AS {n}' for n in _SUMS)} FROM lay GROUP BY ALL")
 def prj02_split_layers_a(spark: SparkSession, d: str) -> DataFrame:
     return _sums(_layers(spark, d), _SUMS)
 
 
-@query(f"WITH {_layer_sql('B')} SELECT clip_id, frame_no, {', '.join(f'sum({n}) AS {n}' for n in _SUMS)} FROM lay GROUP BY ALL")
+@query(f"WITH {_layer_sql('B')} SELECT clip_id, frame_no, {', '.join(f'CAST(sum({n}) AS BIGINT) AS {n}' for n in _SUMS)} FROM lay GROUP BY ALL")
 def prj02_split_layers_b(spark: SparkSession, d: str) -> DataFrame:
     return _sums(_layers(spark, d, "B"), _SUMS)
 
@@ -102,17 +102,17 @@ def prj03_luminance(spark: SparkSession, d: str) -> DataFrame:
     return _coloured(spark, d).select("clip_id", "frame_no", "x", "y", pixels.luminance(c("r"), c("g"), c("b"), c("idx")).alias("luma"))
 
 
-@query(f"WITH {_layer_sql('A')} SELECT clip_id, frame_no, {', '.join(f'sum(CASE WHEN alpha = 0 THEN 0 WHEN remap_mask > 0 THEN remap_{x} ELSE base_{x} END) AS out_{x}' for x in 'rgb')}, sum(alpha) AS out_a FROM lay GROUP BY ALL")
+@query(f"WITH {_layer_sql('A')} SELECT clip_id, frame_no, {', '.join(f'CAST(sum(CASE WHEN alpha = 0 THEN 0 WHEN remap_mask > 0 THEN remap_{x} ELSE base_{x} END) AS BIGINT) AS out_{x}' for x in 'rgb')}, CAST(sum(alpha) AS BIGINT) AS out_a FROM lay GROUP BY ALL")
 def prj04_compose_rgba(spark: SparkSession, d: str) -> DataFrame:
     return _sums(pixels.compose_rgba(_layers(spark, d)), ["out_r", "out_g", "out_b", "out_a"])
 
 
-@query(f"WITH {fx.PIXELS} SELECT clip_id, frame_no, sum(CASE WHEN idx = 255 THEN 255 ELSE 0 END) AS mask FROM pixels GROUP BY ALL")
+@query(f"WITH {fx.PIXELS} SELECT clip_id, frame_no, CAST(sum(CASE WHEN idx = 255 THEN 255 ELSE 0 END) AS BIGINT) AS mask FROM pixels GROUP BY ALL")
 def prj05_alpha_mask(spark: SparkSession, d: str) -> DataFrame:
     return _sums(fx.pixels(spark, d).withColumn("mask", pixels.alpha_mask(c("idx"))), ["mask"])
 
 
-@query(f"WITH {_layer_sql('A')}, l AS (UNPIVOT (SELECT clip_id, {', '.join(_SUMS)}, idx AS pixel_index FROM lay) ON {', '.join(_SUMS)}, pixel_index INTO NAME layer VALUE value) SELECT clip_id, layer, count(*) AS n, sum(value) AS total FROM l GROUP BY ALL")
+@query(f"WITH {_layer_sql('A')}, l AS (UNPIVOT (SELECT clip_id, {', '.join(_SUMS)}, idx AS pixel_index FROM lay) ON {', '.join(_SUMS)}, pixel_index INTO NAME layer VALUE value) SELECT clip_id, layer, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM l GROUP BY ALL")
 def prj06_unpivot_channels(spark: SparkSession, d: str) -> DataFrame:
     out = pixels.unpivot_channels(_layers(spark, d), ["clip_id", "frame_no", "x", "y"], with_index=True)
     return out.groupBy("clip_id", "layer").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
@@ -121,7 +121,7 @@ def prj06_unpivot_channels(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_layer_sql('A')}, t AS (
 SELECT clip_id, 'BASE' AS layer, base_r AS vr, base_g AS vg, base_b AS vb FROM lay UNION ALL SELECT clip_id, 'REMAP', remap_r, remap_g, remap_b FROM lay
 UNION ALL SELECT clip_id, 'ALPHA', 255 - alpha, 255 - alpha, 255 - alpha FROM lay UNION ALL SELECT clip_id, 'LUMINANCE', {LUMA}, {LUMA}, {LUMA} FROM lay)
-SELECT clip_id, layer, sum(vr) AS vr, sum(vg) AS vg, sum(vb) AS vb FROM t GROUP BY ALL""")
+SELECT clip_id, layer, CAST(sum(vr) AS BIGINT) AS vr, CAST(sum(vg) AS BIGINT) AS vg, CAST(sum(vb) AS BIGINT) AS vb FROM t GROUP BY ALL""")
 def prj06_unpivot_tracks(spark: SparkSession, d: str) -> DataFrame:
     out = pixels.unpivot_tracks(_layers(spark, d), ["clip_id", "frame_no", "x", "y"])
     return out.groupBy("clip_id", "layer").agg(*[F.sum(f"v{x}").alias(f"v{x}") for x in "rgb"])
@@ -292,7 +292,7 @@ def jon04_resolve_resources(spark: SparkSession, d: str) -> DataFrame:
     return keyed.resolve_resources(wanted, best, volumes)
 
 
-@query(f"WITH {COLOURED} SELECT clip_id, sum(r) AS r, sum(g) AS g, sum(b) AS b, count(*) AS n FROM col GROUP BY 1")
+@query(f"WITH {COLOURED} SELECT clip_id, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b, count(*) AS n FROM col GROUP BY 1")
 def jon05_apply_palette(spark: SparkSession, d: str) -> DataFrame:
     return _coloured(spark, d).groupBy("clip_id").agg(*[F.sum(x).alias(x) for x in "rgb"], F.count("*").alias("n"))
 
@@ -777,7 +777,7 @@ def doc06_invert(spark: SparkSession, d: str) -> DataFrame:
     return palettes.invert(_own_palette(spark, d, 0), 30, 90)
 
 
-@query(f"WITH {fx.PIXELS} SELECT clip_id, sum(CASE WHEN idx BETWEEN 10 AND 20 THEN (idx + 250) % 256 ELSE idx END) AS total FROM pixels GROUP BY 1")
+@query(f"WITH {fx.PIXELS} SELECT clip_id, CAST(sum(CASE WHEN idx BETWEEN 10 AND 20 THEN (idx + 250) % 256 ELSE idx END) AS BIGINT) AS total FROM pixels GROUP BY 1")
 def doc07_remap_range(spark: SparkSession, d: str) -> DataFrame:
     return fx.pixels(spark, d).groupBy("clip_id").agg(F.sum(palettes.remap_range(c("idx"), 10, 20, 250)).alias("total"))
 
