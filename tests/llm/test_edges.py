@@ -277,3 +277,28 @@ def test_pipeline_stages(spark, docs, none):
             assert {r["doc_id"] for r in at.collect()} - {r["doc_id"] for r in out.collect()} >= {0, 1, 2, 3, 4}
         at, empty = out, spark.createDataFrame([], out.schema)
     assert at.count() > 0
+
+
+def test_html_differencing_over_parts(spark):
+    rng = random.Random(12)
+    site = {h: [f"{h} site line {k}" for k in range(6)] for h in "abc"}
+    rows = []
+    for i in range(150):
+        h = rng.choice("aaab c".replace(" ", ""))
+        own = [f"text {i} {k}" for k in range(rng.randrange(8, 14))]
+        for x in sorted(rng.sample(range(6), rng.randrange(4))):
+            own.insert(rng.randrange(len(own)), site[h][x])
+        rows.append((i, h, f"/{rng.randrange(40)}", own))
+    df = spark.createDataFrame([(i, f"http://{h}{p}", "".join(f"<p>{x}</p>" for x in ls)) for i, h, p, ls in rows], "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    order = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    for n, (i, h, _, ls) in enumerate(order):
+        near = [order[m] for m in (n - 1, n + 1) if 0 <= m < len(order) and order[m][1] == h]
+        beside = near[0][3] if near else []
+        best = [[0] * (len(beside) + 1) for _ in range(len(ls) + 1)]
+        for a in range(len(ls)):
+            for b in range(len(beside)):
+                best[a + 1][b + 1] = best[a][b] + 1 if ls[a] == beside[b] else max(best[a][b + 1], best[a + 1][b])
+        gone = len(ls) - len(got[i].split("text ")[1:]) - sum(x in got[i] for x in site[h])
+        assert gone == (best[-1][-1] if best[-1][-1] <= len(ls) / 2 else 0), i
+        assert all(x in got[i] for x in ls if x.startswith("text"))
