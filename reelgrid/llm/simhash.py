@@ -231,11 +231,16 @@ def hexadecimal(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def one_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id."""
+def rows_named(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """One row of docs for each (doc_id, h) of named."""
     # two hashes name a row, so that the join and the choice among equal rows share one shuffle of the texts
     name = lambda h: F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), h).alias("_k")
-    keep = grouped(docs).where("keeper").select(name(F.col("h")), F.col("h").alias("_t")).distinct()
+    keep = named.select(name(F.col("h")), F.col("h").alias("_t")).distinct()
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), name(text_hash()), text_hash().alias("_t"))
     first = F.row_number().over(Window.partitionBy("_k", "_t").orderBy(F.lit(1)))
     return own.join(keep, ["_k", "_t"], "left_semi").withColumn("_n", first).where("_n = 1").select("_doc.*")
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id."""
+    return rows_named(docs, grouped(docs).where("keeper"))
