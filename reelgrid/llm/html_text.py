@@ -1,12 +1,12 @@
 """Main text of web pages: structure first, then differencing against the page of the nearest URL.
 
 A page's blocks are lines. Elements that hold no article text by their kind (scripts, styles, forms, navigation, headers,
-footers, sidebars) or by what their class, id or role says of them (adverts, menus, notices, comments) are left out, and
-where a page marks its article, lines outside it are too. What is left is compared with the page whose URL path is nearest
-on the same host (the one before in the order of paths, for a host's first the one after): lines are aligned by the longest
-common subsequence, and those that both pages have are deleted, as the host's own. Lines inside a marked article and
-headlines stay even if the other page has them: licences, quoted passages and copies are text, not template. Nor are copies
-of an unmarked page templates of each other: where the pages share more than most of its lines, nothing is deleted.
+footers, sidebars) or by what their class, id or role says of them (adverts, menus, notices, comments) are left out. What
+is left, outside of a marked article too, is compared with the page whose URL path is nearest on the same host (the one
+before in the order of paths, for a host's first the one after): lines are aligned by the longest common subsequence, and
+those that both pages have are deleted, as the host's own. Lines inside a marked article, and headlines of a page without
+one, stay even if the other page has them: licences, quoted passages and copies are text, not template. Nor are copies of
+an unmarked page templates of each other: where the pages share more than most of its lines, nothing is deleted.
 
 Pages are dealt by ranges of (host, path), so a host with a third of all pages spreads over many tasks; a task's first page
 finds its neighbour in the last one of the task before, one row a task. Only hashes of lines pass between pages.
@@ -97,16 +97,15 @@ class _Reader(HTMLParser):
             self.parts.append(data)
 
 
-def lines(html: str | None) -> tuple[list[str], list[bool]]:
-    """The candidate lines of a page in order, and which of them are certain: in a marked article, or headlines."""
+def lines(html: str | None) -> tuple[list[str], list[bool], bool]:
+    """The candidate lines of a page in order, and which of them are certain: those in its marked article, or headlines if it marks none; and whether it marks one."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
     reader.cut()
     own = reader.lines
-    if any(a for _, a, _ in own):
-        own = [x for x in own if x[1]]
-    return [x[0] for x in own], [x[1] or x[2] for x in own]
+    marked = any(a for _, a, _ in own)
+    return [x[0] for x in own], [x[1] if marked else x[2] for x in own], marked
 
 
 def _row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -161,16 +160,16 @@ def main_text(pages: DataFrame, most: float = 0.5) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [lines(h) for h in b.column(4).to_pylist()]
-            hashes = [[int(np.uint64(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))).view(np.int64)) for x in ls] for ls, _ in found]
-            texts = [" ".join(ls) if all(certain) else None for ls, certain in found]
-            rest = [(None, None) if t is not None else f for t, f in zip(texts, found, strict=True)]
+            hashes = [[int(np.uint64(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))).view(np.int64)) for x in ls] for ls, _, _ in found]
+            texts = [" ".join(ls) if all(certain) else None for ls, certain, _ in found]
+            rest = [(None, None, None) if t is not None else f for t, f in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:4], pa.array(texts, pa.string()), pa.array([ls for ls, _ in rest], pa.list_(pa.string())), pa.array([c for _, c in rest], pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["page_id", "url", "host", "path", "text", "lines", "certain", "hashes"],
+                [*b.columns[:4], pa.array(texts, pa.string()), pa.array([x[0] for x in rest], pa.list_(pa.string())), pa.array([x[1] for x in rest], pa.list_(pa.bool_())), pa.array([x[2] for x in rest], pa.bool_()), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["page_id", "url", "host", "path", "text", "lines", "certain", "marked", "hashes"],
             )
 
     # parsed once and kept; a page whose lines are all certain has its text already, and gives only hashes to its neighbours
-    blocks = named.mapInArrow(read, f"page_id {kind}, url string, host string, path string, text string, lines array<string>, certain array<boolean>, hashes array<long>")
+    blocks = named.mapInArrow(read, f"page_id {kind}, url string, host string, path string, text string, lines array<string>, certain array<boolean>, marked boolean, hashes array<long>")
     blocks = saved(blocks.withColumn("row", F.monotonically_increasing_id()), "blocks")
     order = ["host", "path", "page_id", "row"]
     narrow = blocks.select(*order, "hashes", F.col("text").isNull().alias("open"))
@@ -189,15 +188,15 @@ def main_text(pages: DataFrame, most: float = 0.5) -> DataFrame:
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for ls, certain, own, beside in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+            for ls, certain, marked, own, beside in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
                 if beside and own:
                     shared = common(np.array(own, np.int64), np.array(beside, np.int64))
-                    if shared.mean() <= most:
+                    if marked or shared.mean() <= most:
                         ls = [x for x, s, c in zip(ls, shared.tolist(), certain, strict=True) if c or not s]
                 texts.append(" ".join(ls))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    unsure = blocks.where("text is null").select("row", "page_id", "url", "lines", "certain", "hashes").join(near.select("row", other.alias("beside")), "row").drop("row")
+    unsure = blocks.where("text is null").select("row", "page_id", "url", "lines", "certain", "marked", "hashes").join(near.select("row", other.alias("beside")), "row").drop("row")
     judged = unsure.mapInArrow(delete, f"page_id {kind}, url string, text string")
     out = blocks.where("text is not null").select("page_id", "url", "text").unionByName(judged)
     return out.withColumn("n_chars", F.length("text").cast("long"))
