@@ -85,23 +85,27 @@ def traverse(q: np.ndarray, books: tuple[np.ndarray, np.ndarray], counts: np.nda
 
 def fit_share(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recall_target: float, queries: int = 200) -> float:
     """The least share of entries at which the sample's own queries find recall_target of their k nearest."""
-    cells = cells_of(sample, books)
+    cells, half = cells_of(sample, books), books[0].shape[1]
     counts = np.bincount(cells, minlength=len(books[0]) * len(books[1]))
-    shares = []
+    shares, upto = [], np.zeros(len(counts))
     for i in range(0, len(sample), max(1, len(sample) // queries)):
         d = ((sample - sample[i]) ** 2).sum(axis=1)
         d[i] = np.inf
-        order = traverse(sample[i], books, counts, len(sample))
-        upto = dict(zip(order, np.cumsum(counts[order]).tolist(), strict=True))
-        shares += [upto[c] / len(sample) for c in cells[np.argsort(d, kind="stable")[:k]].tolist()]
+        # the heap's order in full, here by one sort of all pairs
+        sums = _squares(sample[i][None, :half], books[0])[0][:, None] + _squares(sample[i][None, half:], books[1])[0]
+        order = np.argsort(sums.ravel(), kind="stable")
+        upto[order] = np.cumsum(counts[order])
+        shares += (upto[cells[np.argsort(d, kind="stable")[:k]]] / len(sample)).tolist()
     return float(np.quantile(shares, recall_target)) if shares else 1.0
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall_target: float = 0.97, sample: int = 20_000, cell_entries: int = 64, most_centres: int = 256, shard_entries: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall_target: float = 0.94, sample: int = 20_000, centres: int | None = None, most_centres: int = 512, shard_entries: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance): the k nearest found of each row of queries.
 
-    sample bounds the rows that the codebooks and the visited share are fitted on; most_centres bounds a codebook, and so
-    the cell counts (most_centres squared) that the driver holds.
+    sample bounds the rows that the codebooks and the visited share are fitted on. A half's codebook has centres entries;
+    by default their number grows with the rows, but slower than their root, so that cells take more rows as tables grow and
+    a query's walk over cells stays short beside its distances. most_centres bounds it, and so the cell counts
+    (most_centres squared) that the driver holds.
     """
     spark = vectors.sparkSession
     ready(spark)
@@ -121,7 +125,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall_target: f
     some = index.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
     fitted = np.array([np.asarray(x, float) for x in some])
     half = max(1, dim // 2)
-    centres = int(min(most_centres, len(fitted), max(1, round((total / cell_entries) ** 0.5))))
+    centres = max(1, min(centres or round(10 * total**0.28), most_centres, len(fitted) // 20))
     books = (k_means(fitted[:, :half], centres), k_means(fitted[:, half:], centres) if dim > half else np.zeros((1, 0)))
     share = fit_share(fitted, books, k, recall_target)
 

@@ -1,7 +1,12 @@
-"""What the operators of this subpackage share: the shared folder, written tables, lookups and batches of texts."""
+"""What the operators of this subpackage share: the shared folder, written tables, lookups and batches of texts.
+
+Written tables lie below reelgrid/ in the shared folder and are deleted when the Python driver ends; drop() deletes one
+before that.
+"""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -14,12 +19,15 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _shipped: set[str] = set()
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a local one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
@@ -27,18 +35,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/reelgrid/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted at the end of the driver."""
+    if not _written:
+        atexit.register(_drop_all)
+    path = f"{shared_dir(spark)}/reelgrid/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _drop_all() -> None:
+    for path in list(_written):
+        try:
+            _delete(path)
+        except Exception:  # noqa: BLE001, PERF203  the session has ended: the folder is its owner's to clear
+            return
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of saved() that df reads; nothing may read df afterwards."""
+    path = getattr(df, "_saved_at", None)
+    if path in _written:
+        _delete(path)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
 def ready(spark: SparkSession) -> None:
-    """Lets the Python workers import this package, and keeps Arrow batches of long texts small."""
+    """Lets the Python workers import this package, and keeps Arrow batches of long texts small: the session's limit of rows a batch is lowered to 512 and stays so, since a plan reads it when it runs."""
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
@@ -52,7 +88,8 @@ def ready(spark: SparkSession) -> None:
                             full = os.path.join(folder, n)
                             z.write(full, os.path.relpath(full, os.path.dirname(top)))
             sc.addPyFile(path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
 def text_hash() -> Column:

@@ -1,15 +1,21 @@
-"""Main text of web pages: structure first, then differencing against the page of the nearest URL.
+"""Main text of web pages: differencing against the page of the nearest URL, with the structure as a second judge.
 
-A page's blocks are lines. Elements that hold no article text by their kind (scripts, styles, forms, navigation, headers,
-footers, sidebars) or by what their class, id or role says of them (adverts, menus, notices, comments) are left out. What
-is left, outside of a marked article too, is compared with the page whose URL path is nearest on the same host (the one
-before in the order of paths, for a host's first the one after): lines are aligned by the longest common subsequence, and
-those that both pages have are deleted, as the host's own. Lines inside a marked article, and headlines of a page without
-one, stay even if the other page has them: licences, quoted passages and copies are text, not template. Nor are copies of
-an unmarked page templates of each other: where the pages share more than most of its lines, nothing is deleted.
+A page's blocks are lines; every page's lines are aligned with those of the page whose URL path is nearest on the same host
+(the neighbour in the order of paths with the longer common beginning) by the longest common subsequence. Lines that both
+have are the host's own, and are deleted, if nothing speaks for them: lines inside a marked article and the headline of a
+page without one stay, since articles share licences, quoted passages and copies, which are text. A list of lines that are
+shared for three quarters is deleted as a whole. A page that shares nearly all lines both ways is a copy and shows no
+template: then the other neighbour is asked, and without one nothing is deleted. Where more than half of a page is shared,
+the other neighbour, if it is no copy, has to share a line too.
+
+Differencing cannot see what a host varies from page to page (menus, adverts, comments). So lines in elements that hold no
+article text by their kind (scripts, forms, navigation, headers, footers, sidebars), or whose class, id or role says so
+(adverts, menus, notices, comments), go in any case. Where a class only hints at that ("article-related-content", or any on
+a paragraph), it takes both: such a line goes if it is shared, in an article too.
 
 Pages are dealt by ranges of (host, path), so a host with a third of all pages spreads over many tasks; a task's first page
-finds its neighbour in the last one of the task before, one row a task. Only hashes of lines pass between pages.
+finds its neighbour in the last one of the task before, one row a task. Only hashes of lines pass between pages; the lines
+themselves travel once, compressed.
 
 Null html is empty, a null url has an empty host and path. Rows that share a page_id are pages of their own. Extra columns
 are ignored. An empty table gives no rows.
@@ -33,27 +39,54 @@ from .common import ready, saved
 SILENT = frozenset("script style noscript template iframe object embed svg canvas nav header footer aside form button select textarea dialog menu title head".split())
 BLOCKS = frozenset("address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|sponsor|sponsored|promo|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|sidebar|side-bar|footer|header|masthead|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|comment|comments|reply|replies|respond|disqus|share|sharing|social|related|widget|login|signup)(?:$|[\s_-])", re.I)
+_WORDS = r"(?:ad|ads|advert|adverts|advertisement|banner|sponsor|sponsored|promo|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|sidebar|side-bar|footer|header|masthead|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|comment|comments|reply|replies|respond|disqus|share|sharing|social|related|widget|login|signup)"
+#: What a class or id says: a name of or beginning with such a word, or one with such a word further on.
+NOISE = re.compile(rf"(?:^|\s){_WORDS}(?:$|[\s_-])", re.I)
+HINT = re.compile(rf"[_-]{_WORDS}(?:$|[\s_-])", re.I)
+#: Elements that hold other blocks; on others a class is a hint at most.
+HOLDERS = frozenset("div section ul ol dl table tbody tr td span figure fieldset details center".split())
+LISTS = frozenset("ul ol dl table".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SPACE = re.compile(r"\s+")
+#: What the structure says of a line: no article text, a hint of that, nothing, headline, article.
+GONE, HINTED, OPEN, HEAD, TEXT = range(5)
+#: Elements whose text is none of the page's.
+MUTE = frozenset("script style noscript template iframe object embed svg canvas select textarea button title head".split())
 
 
 class _Reader(HTMLParser):
-    """Blocks of text with whether each lies in the article and whether it is a headline."""
+    """Blocks of text, what the structure says of each, and the number of the list that holds it (-1: none)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # tag, silent, article
-        self.silent = self.article = 0
+        self.open: list[tuple[str, dict[str, int]]] = []  # tag, and what it adds to the counts
+        self.counts = {"mute": 0, "gone": 0, "hint": 0, "article": 0, "head": 0}
+        self.lists: list[int] = []
+        self.n_lists = 0
         self.parts: list[str] = []
-        self.head = False
-        self.lines: list[tuple[str, bool, bool]] = []
+        self.lines: list[tuple[str, int, int]] = []
 
     def cut(self) -> None:
         line = SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts.clear()
         if line:
-            self.lines.append((line, self.article > 0, self.head))
+            c = self.counts
+            said = GONE if c["gone"] else HINTED if c["hint"] else TEXT if c["article"] else HEAD if c["head"] else OPEN
+            self.lines.append((line, said, self.lists[-1] if self.lists else -1))
+
+    def _said(self, tag: str, attrs: list) -> dict[str, int]:
+        """Which counts an element raises."""
+        out = {"mute": tag in MUTE, "head": tag in ("h1", "h2", "h3", "h4", "h5", "h6")}
+        said = {k: v or "" for k, v in attrs}
+        role = said.get("role", "").lower()
+        out["article"] = tag in ("article", "main") or role == "main" or said.get("itemprop") == "articleBody"
+        gone = tag in SILENT and not (tag == "header" and self.counts["article"]) or role in ROLES or "hidden" in said or said.get("aria-hidden") == "true"
+        names = f"{said.get('class', '')} {said.get('id', '')}"
+        if not gone and tag not in ("html", "body", "article", "main") and names != " ":
+            gone = tag in HOLDERS and bool(NOISE.search(names))
+            out["hint"] = not gone and bool(NOISE.search(names) or HINT.search(names))
+        out["gone"] = gone
+        return {k: 1 for k, v in out.items() if v}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS or tag in SILENT:
@@ -62,24 +95,22 @@ class _Reader(HTMLParser):
             return
         if tag == "p" and self.open and self.open[-1][0] == "p":
             self._end(len(self.open) - 1)
-        said = {k: v or "" for k, v in attrs}
-        loud = tag not in ("html", "body", "article", "main")
-        silent = tag in SILENT and not (tag == "header" and self.article) or loud and (bool(NOISE.search(f"{said.get('class', '')} {said.get('id', '')}")) or said.get("role", "").lower() in ROLES or "hidden" in said or said.get("aria-hidden") == "true")
-        article = tag in ("article", "main") or said.get("role") == "main" or said.get("itemprop") == "articleBody"
-        self.open.append((tag, silent, article))
-        self.silent += silent
-        self.article += article
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.head = True
+        adds = self._said(tag, attrs)
+        self.open.append((tag, adds))
+        for k in adds:
+            self.counts[k] += 1
+        if tag in LISTS:
+            self.lists.append(self.n_lists)
+            self.n_lists += 1
 
     def _end(self, at: int) -> None:
-        for tag, silent, article in reversed(self.open[at:]):
+        for tag, adds in reversed(self.open[at:]):
             if tag in BLOCKS or tag in SILENT:
                 self.cut()
-            self.silent -= silent
-            self.article -= article
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                self.head = False
+            for k in adds:
+                self.counts[k] -= 1
+            if tag in LISTS:
+                self.lists.pop()
         del self.open[at:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -93,19 +124,21 @@ class _Reader(HTMLParser):
             self.cut()
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
+        if not self.counts["mute"]:
             self.parts.append(data)
 
 
-def lines(html: str | None) -> tuple[list[str], list[bool], bool]:
-    """The candidate lines of a page in order, and which of them are certain: those in its marked article, or headlines if it marks none; and whether it marks one."""
+def lines(html: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The lines of a page in order, what the structure says of each, and the list that holds it."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
     reader.cut()
     own = reader.lines
-    marked = any(a for _, a, _ in own)
-    return [x[0] for x in own], [x[1] if marked else x[2] for x in own], marked
+    said = np.array([x[1] for x in own], np.int8)
+    if (said == TEXT).any():  # a headline counts as one only where no article is marked
+        said[said == HEAD] = OPEN
+    return [x[0] for x in own], said, np.array([x[2] for x in own], np.int32)
 
 
 def _row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -149,8 +182,38 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def main_text(pages: DataFrame, most: float = 0.5) -> DataFrame:
-    """page_id, url, text, n_chars."""
+def _near(path: str, other: str) -> int:
+    """How many characters two paths begin with in common."""
+    n = min(len(path), len(other))
+    return next((i for i in range(n) if path[i] != other[i]), n)
+
+
+def shared_lines(own: np.ndarray, path: str, beside: list[tuple[str, np.ndarray]], copy: float = 0.9) -> np.ndarray:
+    """Which lines (own: their hashes) are the host's, by the pages beside it (path, hashes of lines), nearest in order first."""
+    out = np.zeros(len(own), bool)
+    if not len(own):
+        return out
+    seen = [common(own, b) for _, b in sorted(beside, key=lambda x: -_near(path, x[0])) if len(b)]
+    sizes = [len(b) for _, b in sorted(beside, key=lambda x: -_near(path, x[0])) if len(b)]
+    seen = [s for s, n in zip(seen, sizes, strict=True) if s.sum() < copy * max(len(own), n)]
+    if not seen:
+        return out
+    return seen[0] & seen[1] if len(seen) > 1 and seen[0].mean() > 0.5 else seen[0]
+
+
+def kept_lines(said: np.ndarray, lists: np.ndarray, shared: np.ndarray, most: float = 0.75) -> np.ndarray:
+    """Which lines are the page's text, by what the structure says of them, the lists they are in, and which are shared."""
+    gone = shared.copy()
+    for k in np.unique(lists[lists >= 0]):
+        own = lists == k
+        if own.sum() >= 4 and shared[own].mean() >= most:
+            gone |= own
+    return (said != GONE) & ((said >= HEAD) | ~gone)
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars, n_lines (lines of the page), n_shared (of these, lines that differencing found to be the
+    host's) and n_differenced (of these, lines that the structure alone would have left in the text)."""
     spark = pages.sparkSession
     ready(spark)
     host, path = host_and_path(F.col("url").cast("string"))
@@ -158,45 +221,59 @@ def main_text(pages: DataFrame, most: float = 0.5) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = pa.Codec("zstd")
         for b in batches:
-            found = [lines(h) for h in b.column(4).to_pylist()]
-            hashes = [[int(np.uint64(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))).view(np.int64)) for x in ls] for ls, _, _ in found]
-            texts = [" ".join(ls) if all(certain) else None for ls, certain, _ in found]
-            rest = [(None, None, None) if t is not None else f for t, f in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:4], pa.array(texts, pa.string()), pa.array([x[0] for x in rest], pa.list_(pa.string())), pa.array([x[1] for x in rest], pa.list_(pa.bool_())), pa.array([x[2] for x in rest], pa.bool_()), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["page_id", "url", "host", "path", "text", "lines", "certain", "marked", "hashes"],
-            )
-
-    # parsed once and kept; a page whose lines are all certain has its text already, and gives only hashes to its neighbours
-    blocks = named.mapInArrow(read, f"page_id {kind}, url string, host string, path string, text string, lines array<string>, certain array<boolean>, marked boolean, hashes array<long>")
+            texts, sizes, said, lists, hashes = [], [], [], [], []
+            for html in b.column(4).to_pylist():
+                own, says, holds = lines(html)
+                data = "\n".join(own).encode("utf-8", "surrogatepass")
+                texts.append(zstd.compress(data, asbytes=True))
+                sizes.append(len(data))
+                said.append(says.tobytes())
+                lists.append(holds.tobytes())
+                hashes.append(np.array([xxhash.xxh3_64_intdigest(x) for x in data.split(b"\n")] if own else [], np.uint64).tobytes())
+            more = [pa.array(texts, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (said, lists, hashes)]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *more], names=["page_id", "url", "host", "path", "lines", "size", "said", "lists", "hashes"])
+
+    blocks = named.mapInArrow(read, f"page_id {kind}, url string, host string, path string, lines binary, size long, said binary, lists binary, hashes binary")
     blocks = saved(blocks.withColumn("row", F.monotonically_increasing_id()), "blocks")
     order = ["host", "path", "page_id", "row"]
-    narrow = blocks.select(*order, "hashes", F.col("text").isNull().alias("open"))
+    narrow = blocks.select(*order, "hashes")
     dealt = saved(narrow.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "dealt")
     by = Window.partitionBy("part").orderBy(*order)
-    side = F.struct("host", "hashes")
+    side = F.struct("host", "path", "hashes")
     near = dealt.withColumn("before", F.lag(side).over(by)).withColumn("after", F.lead(side).over(by))
     # one row a part: what its first and last pages lack lies in the parts beside it
     ends = dealt.groupBy("part").agg(F.min_by(side, F.struct(*order)).alias("first"), F.max_by(side, F.struct(*order)).alias("last"))
     step = Window.orderBy("part")
     ends = ends.select("part", F.lag("last").over(step).alias("left"), F.lead("first").over(step).alias("right"))
-    near = near.where("open").join(ends, "part")
-    before, after = F.coalesce("before", "left"), F.coalesce("after", "right")
-    other = F.when(before["host"] == F.col("host"), before["hashes"]).when(after["host"] == F.col("host"), after["hashes"])
+    near = near.join(ends, "part").withColumn("before", F.coalesce("before", "left")).withColumn("after", F.coalesce("after", "right"))
+    ours = lambda c: F.when(F.col(f"{c}.host") == F.col("host"), F.struct(f"{c}.path", f"{c}.hashes")).alias(c)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = []
+            for path, own, before, after in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                beside = [(x["path"], np.frombuffer(x["hashes"], np.uint64)) for x in (before, after) if x]
+                marks.append(shared_lines(np.frombuffer(own, np.uint64), path, beside).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary())], names=["row", "shared"])
+
+    shared = near.select("row", "path", "hashes", ours("before"), ours("after")).mapInArrow(find, "row long, shared binary")
 
-    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = pa.Codec("zstd")
         for b in batches:
-            texts = []
-            for ls, certain, marked, own, beside in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
-                if beside and own:
-                    shared = common(np.array(own, np.int64), np.array(beside, np.int64))
-                    if marked or shared.mean() <= most:
-                        ls = [x for x, s, c in zip(ls, shared.tolist(), certain, strict=True) if c or not s]
-                texts.append(" ".join(ls))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    unsure = blocks.where("text is null").select("row", "page_id", "url", "lines", "certain", "marked", "hashes").join(near.select("row", other.alias("beside")), "row").drop("row")
-    judged = unsure.mapInArrow(delete, f"page_id {kind}, url string, text string")
-    out = blocks.where("text is not null").select("page_id", "url", "text").unionByName(judged)
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+            col = dict(zip(b.schema.names, b.columns, strict=True))
+            texts, counts = [], []
+            for data, size, said, lists, marks in zip(*(col[c].to_pylist() for c in ("lines", "size", "said", "lists", "shared")), strict=True):
+                said, lists, marks = np.frombuffer(said, np.int8), np.frombuffer(lists, np.int32), np.frombuffer(marks, bool)
+                kept = kept_lines(said, lists, marks)
+                own = zstd.decompress(data, decompressed_size=size, asbytes=True).split(b"\n") if size else []
+                texts.append(b" ".join([x for x, k in zip(own, kept.tolist(), strict=True) if k]).decode("utf-8", "surrogatepass"))
+                counts.append((len(said), int(marks.sum()), int(((said != GONE) & ~kept).sum())))
+            more = [pa.array(list(c), pa.int64()) for c in zip(*counts, strict=True)] if counts else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([col["page_id"], col["url"], pa.array(texts, pa.string()), *more], names=["page_id", "url", "text", "n_lines", "n_shared", "n_differenced"])
+
+    both = blocks.select("row", "page_id", "url", "lines", "size", "said", "lists").join(shared, "row")
+    out = both.mapInArrow(judge, f"page_id {kind}, url string, text string, n_lines long, n_shared long, n_differenced long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_differenced")

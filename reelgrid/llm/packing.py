@@ -1,9 +1,10 @@
 """Best-fit packing of documents into training sequences, by vectors of residual capacities.
 
-The corpus is tokenized once, where it lies. Only (document, piece, length, checksum) rows move on; they are dealt by hash
-to groups of a fixed number of tokens, so every group is a task of bounded memory whatever the input's size, and no key
-can be hot. Within a group, pieces go longest first to the open sequence that leaves the least weighted residual over
-three capacities: tokens, documents and attention cost (sum of squared lengths).
+The corpus is tokenized once, where it lies. Only (document, piece, length, checksum) rows move on; they are dealt by a hash
+of all of that and of the row's number to groups of a fixed number of tokens and of rows, so every group is a task of
+bounded memory and time whatever the input's size, and no document, text or length can be hot. Within a group, pieces go
+longest first to the open sequence that has room under three capacities, tokens, documents and attention cost (sum of
+squared lengths), and leaves the least weighted residual over them.
 
 Null texts are empty; every document, empty ones too, ends with the end id, so each has at least one piece. Rows that
 share a doc_id are packed as separate documents. Extra columns are ignored. An empty table gives no rows.
@@ -85,15 +86,15 @@ def best_fit(lengths: np.ndarray, capacities: tuple[float, float, float], weight
     return seq, offset
 
 
-def pack(parts: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4), rule: str = "norm", group_tokens: int = 16_000_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), rule: str = "norm", group_tokens: int = 16_000_000, group_rows: int = 100_000) -> DataFrame:
     """parts with sequence_id and offset. parts needs doc_id, piece and length (1 to capacity).
 
     max_docs and max_cost (of squared lengths) default to what capacity tokens can reach at most, so that they shape the
-    scores but refuse nothing. group_tokens bounds what one task packs; the number of groups follows the input.
+    scores but refuse nothing. group_tokens and group_rows bound what one task packs; the number of groups follows the input.
     """
     caps = (float(capacity), float(max_docs or capacity), float(max_cost or capacity**2))
-    total = parts.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
+    total, rows = parts.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    groups = max(1, -(-total // group_tokens), -(-rows // group_rows))
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "length")])
@@ -101,7 +102,7 @@ def pack(parts: DataFrame, capacity: int = 4096, max_docs: int | None = None, ma
         at = table["_group"].to_numpy() * (1 << 32) + seq
         return table.drop_columns("_group").append_column("sequence_id", pa.array(at, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = parts.withColumn("_group", F.pmod(F.xxhash64(*parts.columns, F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
     return dealt.groupBy("_group").applyInArrow(work, schema)
 

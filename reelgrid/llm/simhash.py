@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready, saved, text_hash
+from .common import drop, ready, saved, text_hash
 
 RADIUS = 4
 
@@ -194,14 +194,18 @@ def components(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
     """node, root (the least node of its component) for every node of the pairs (u, v)."""
     edges, mark = saved(_ordered(pairs), "edges"), None
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        both, before = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), edges
+        # aggregates are written before they are joined, so that adaptive execution can split a star's centre
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         # large star: a node's greater neighbours go to its least one
         large = _ordered(both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").unionByName(least.select(F.col("m").alias("u"), F.col("u").alias("v"))))
-        low = large.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("m"))
+        large = saved(large, "large")
+        low = saved(large.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("m")), "low")
         # small star: a node and its lesser neighbours go to its least one
         small = large.join(low, large["v"] == low["n"]).select(F.col("m").alias("u"), F.col("u").alias("v"))
         edges = saved(_ordered(small.unionByName(low.select(F.col("m").alias("u"), F.col("n").alias("v")))), "edges")
+        for table in (least, large, low, before):
+            drop(table)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break
@@ -219,7 +223,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     roots = components(links(nodes.select("fp")))
     per = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     per = saved(per, "roots")
-    best = per.groupBy("root").agg(F.min("lead").alias("lead"))
+    # written before the join, so that adaptive execution can split a large component's root
+    best = saved(per.groupBy("root").agg(F.min("lead").alias("lead")), "best")
     found = per.select("fp", "root").join(best, "root").select("fp", "lead")
     # copies share a fingerprint: the join may be skewed on the side of the documents, which adaptive execution splits
     out = prints.join(found, "fp")
@@ -237,7 +242,9 @@ def rows_named(docs: DataFrame, named: DataFrame) -> DataFrame:
     name = lambda h: F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), h).alias("_k")
     keep = named.select(name(F.col("h")), F.col("h").alias("_t")).distinct()
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), name(text_hash()), text_hash().alias("_t"))
-    first = F.row_number().over(Window.partitionBy("_k", "_t").orderBy(F.lit(1)))
+    # rows that share doc_id and text: the one of least hash over what other columns can be hashed
+    rest = [F.col(f"_doc.{f.name}") for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    first = F.row_number().over(Window.partitionBy("_k", "_t").orderBy(F.xxhash64(*rest)))
     return own.join(keep, ["_k", "_t"], "left_semi").withColumn("_n", first).where("_n = 1").select("_doc.*")
 
 

@@ -13,7 +13,7 @@ Words are compared by 64-bit hashes of spans or windows along with 32 bits of th
 sends a batch's first occurrence of a span or window only and knows the rest of them as repeats, so a passage that a third
 of the documents share is sent once a batch. Nothing is paired within a group and no group is held: tasks read sorted rows.
 
-Null texts have no words. Rows that share a doc_id count as one document: neither's windows precede the other's at the same
+A text of 2**26 words or more raises an error. Null texts have no words. Rows that share a doc_id count as one document: neither's windows precede the other's at the same
 place. Null doc_ids come before all others, as one document. Extra columns stay. An empty table gives no rows.
 """
 
@@ -66,6 +66,8 @@ class Words:
 def spans(w: Words, length: int = LENGTH, k: int = ANCHOR) -> dict[str, np.ndarray]:
     """Of each span: doc (its text's number), start (its first window's place in the text), count (windows), anchor, span (hashes)."""
     n = w.n - length + 1
+    if w.n >= 1 << 26:
+        raise ValueError("a text of 67,108,864 words or more: cut it into documents first")
     none = np.zeros(0, np.int64)
     if n <= 0:
         return {"doc": none, "start": none, "count": none, "anchor": none, "span": none}
@@ -193,8 +195,12 @@ def _judged(rows: DataFrame) -> DataFrame:
     return out.withColumn("later", (_kind() == REPEAT) | ((_kind() == SPAN) & (place > F.col("_lead")))).drop("_lead")
 
 
-def _key(doc: Column, tail: Column) -> Column:
-    return F.xxhash64(doc.isNull(), doc, tail)
+#: What names a document: its doc_id, and 27 bits of its text's hash along with whether the doc_id is null.
+NAME = ["_key", "_sub"]
+
+
+def _name(doc: Column, tail: Column) -> list[Column]:
+    return [F.coalesce(doc, F.lit(0).cast("long")).alias("_key"), (tail * 2 + doc.isNull().cast("int")).alias("_sub")]
 
 
 def _own_tail() -> Column:
@@ -202,24 +208,25 @@ def _own_tail() -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs, its text as a string, with _key, which names a document by its doc_id and text."""
-    return docs.withColumn("text", F.col("text").cast("string")).withColumn("_key", _key(F.col("doc_id").cast("long"), _own_tail()))
+    """docs, its text as a string, with the columns NAME."""
+    return docs.withColumn("text", F.col("text").cast("string")).select("*", *_name(F.col("doc_id").cast("long"), _own_tail()))
 
 
 def repeats(own: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """The repeats in what keyed() gives, as (_key, start, count of windows)."""
+    """The repeats in what keyed() gives, as (_key, _sub, start, count of windows). Repeated rows share their document's."""
     if not 0 < k < length or length - k + 1 > 15:
         raise ValueError("an anchor is shorter than a window, by at most 14 words")
     ready(own.sparkSession)
     rows = own.select(F.col("doc_id").cast("long"), "text", _own_tail()).mapInArrow(_seeds(length, k), ROW)
     met = _judged(rows).where((F.col("later")) | (_kind() == LONE) | F.col("several"))
-    met = saved(met.select(_key(F.col("doc"), _tail()).alias("_key"), F.when(~F.col("later"), F.shiftright("anchor", 32).cast("int")).alias("anchor"), _start().cast("int").alias("start"), _count().alias("count")), "spans")
-    whole = met.where("anchor is null").select("_key", "start", "count")
-    parts = met.where("anchor is not null").groupBy("_key").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("_found"))
+    met = saved(met.select(*_name(F.col("doc"), _tail()), F.when(~F.col("later"), F.shiftright("anchor", 32).cast("int")).alias("anchor"), _start().cast("int").alias("start"), _count().alias("count")), "spans")
+    whole = met.where("anchor is null").select(*NAME, "start", "count")
+    # sets, not lists: copies of one row bring the same spans, and each of them joins what all have brought
+    parts = met.where("anchor is not null").groupBy(*NAME).agg(F.collect_set(F.struct("anchor", "start", "count")).alias("_found"))
     # all columns of own take part, so that this join and the caller's read the texts from one shuffle
-    text = own.join(parts, "_key").withColumn("_id", F.col("doc_id").cast("long")).withColumn("_tail", _own_tail())
+    text = own.join(parts, NAME).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_tail", _own_tail())
     windows = _judged(text.mapInArrow(_windows(length), ROW)).where("later")
-    return whole.unionByName(windows.select(_key(F.col("doc"), _tail()).alias("_key"), _start().cast("int").alias("start"), _count().alias("count")))
+    return whole.unionByName(windows.select(*_name(F.col("doc"), _tail()), _start().cast("int").alias("start"), _count().alias("count")))
 
 
 def covered(n: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
@@ -234,8 +241,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Data
     """doc_id, text, doc (a struct of docs' other columns, if any), kept_text (the words that stay, joined by one space), n_words, n_removed, and repeats: the maximal repeats as arrays of (start, end) in words."""
     others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
     own = keyed(docs.select("doc_id", "text", *([F.struct(*others).alias("doc")] if others else [])))
-    per = repeats(own, length, k).groupBy("_key").agg(F.collect_list(F.struct("start", "count")).alias("_found"))
-    joined = own.join(per, "_key", "left").drop("_key")
+    per = repeats(own, length, k).groupBy(*NAME).agg(F.collect_set(F.struct("start", "count")).alias("_found"))
+    joined = own.join(per, NAME, "left").drop(*NAME)
     names, at = joined.columns[:-1], joined.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

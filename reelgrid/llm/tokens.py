@@ -12,7 +12,7 @@ import numpy as np
 #: Words kept per worker before it starts anew: about 150 bytes each.
 KEPT_WORDS = 1_000_000
 #: Units encoded as one text.
-TOGETHER = 64
+TOGETHER = 256
 _SPACE_RUN = re.compile(r" \s")
 _COMBINING = re.compile("[̀-ͯ]")
 _BEFORE_STOP = re.compile(rb"(?<=[a-z0-9])(?=[.,])")
@@ -31,8 +31,8 @@ class Encoder:
 
     unit tells where a text may be cut without changing its ids, so that a unit seen before need not be encoded again:
     "space" for byte-level vocabularies whose pieces start with one space; "word" for vocabularies that drop white space
-    and case; "text" cuts nowhere. All ids come from the library; texts with runs of white space that could bind two
-    units (or combining marks, for "word") are encoded whole.
+    and case; "text" cuts nowhere. All ids come from the library, as loaded; texts with runs of white space that could bind
+    two units (or combining marks, for "word"), or with the string of an added token in either case, are encoded whole.
     """
 
     def __init__(self, path: str, unit: str = "text"):
@@ -40,10 +40,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.unit = unit
         self.kept: dict = {}
+        fold = str.lower if unit == "word" else str
+        self._added = [fold(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary, end = self.tokenizer.get_vocab(), "</w>" if unit == "word" else ""
         self._sizes, self._final = np.zeros(max(vocabulary.values()) + 1, np.int64), np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():  # one character stands for one byte
@@ -54,6 +55,9 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _units(self, text: str) -> list | None:
+        folded = text.lower() if self.unit == "word" else text
+        if any(a in folded for a in self._added):
+            return None
         if self.unit == "space" and not _SPACE_RUN.search(text):
             if "\0" not in text:
                 units = text.replace(" ", "\0 ").split("\0")

@@ -17,6 +17,11 @@ def words(text):
 
 def substring(docs, length=20):
     """docs: (doc_id, text), in any order -> {doc_id: (n_words, n_removed, sha)}; ids are distinct."""
+    return {d: (n, g, hashlib.sha256(t.encode()).hexdigest()) for d, (n, g, t) in without_repeats(docs, length).items()}
+
+
+def without_repeats(docs, length=20):
+    """{doc_id: (n_words, n_removed, the words that stay, joined by one space)}."""
     seen, out = {}, {}
     for doc, text in sorted(docs, key=lambda x: x[0]):
         w = words(text)
@@ -28,7 +33,7 @@ def substring(docs, length=20):
             else:
                 seen[key] = (doc, i)
         kept = [x for x, g in zip(w, gone) if not g]
-        out[doc] = (len(w), sum(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+        out[doc] = (len(w), sum(gone), " ".join(kept))
     return out
 
 
@@ -102,3 +107,42 @@ def sources(rows):
     for source, text in rows:
         out[source] += len(words(text))
     return dict(out)
+
+
+def slots(targets, block):
+    """Sources of the slots of a mix, by exact golden-ratio points. targets: {source: target}, in rank order."""
+    import math
+    from fractions import Fraction
+
+    total = sum(Fraction(t) for t in targets.values())
+    edges, at = [], Fraction(0)
+    for source, t in targets.items():
+        at += Fraction(t) / total
+        edges.append((at, source))
+    step = Fraction(1640531527, 1 << 32)
+    return [next(s for e, s in edges if (k * step) % 1 < e) for k in range(math.ceil(total / block))]
+
+
+def near_copies(rows):
+    """rows: (doc_id, text), ids distinct -> the least id of each component of all pairs of similarity 0.8 or more."""
+    sets = {}
+    for d, text in sorted(rows):
+        w = words(lower(text))
+        sets[d] = frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    by, root = {}, {d: d for d in sets}
+    for d, s in sets.items():
+        for g in s or [None]:
+            by.setdefault(g, []).append(d)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = {(a, b) for group in by.values() for k, b in enumerate(group) for a in group[:k]}
+    for a, b in pairs:
+        x, y = sets[a], sets[b]
+        if 5 * len(x & y) >= 4 * len(x | y):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return sorted(d for d in sets if find(d) == d)
