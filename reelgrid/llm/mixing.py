@@ -171,24 +171,35 @@ def mixed_documents(docs: DataFrame, block: int | None = None, part_words: int =
     joined = own.dropDuplicates(["_key", "_row"]).join(taken, ["_key", "_row"]).select("_doc", "_text", "_taken")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = re.compile(WORD)
+        word, zstd = re.compile(WORD), pa.Codec("zstd")
         for batch in batches:
-            rows, texts, slots, places = [], [], [], []
+            rows, texts, sizes_, slots, places = [], [], [], [], []
             for i, (text, spans_) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 at = [m.span() for m in word.finditer(text)]
                 for s in spans_:
                     whole = s["start"] == 0 and s["end"] == len(at)
-                    texts.append(text if whole else text[at[s["start"]][0] : at[s["end"] - 1][1]])
+                    data = (text if whole else text[at[s["start"]][0] : at[s["end"] - 1][1]]).encode("utf-8", "surrogatepass")
+                    texts.append(zstd.compress(data, asbytes=True))
+                    sizes_.append(len(data))
                     rows.append(i)
                     slots.append(s["slot"])
                     places.append(s["place"])
-            taken = [pa.array(texts, pa.string()), pa.array(slots, pa.int64()), pa.array(places, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *taken], names=["_doc", "_text", "_slot", "_place"])
+            more = [pa.array(texts, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes_, slots, places)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *more], names=["_doc", "_packed", "_size", "_slot", "_place"])
 
-    out = joined.select("_doc", "_text", F.lit(0).cast("long").alias("_slot"), F.lit(0).cast("long").alias("_place")).schema
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = pa.Codec("zstd")
+        for batch in batches:
+            data = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            texts = [zstd.decompress(x, decompressed_size=n, asbytes=True).decode("utf-8", "surrogatepass") if n else "" for x, n in data]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_doc", "_text"])
+
+    zero = F.lit(0).cast("long")
+    packed = joined.select("_doc", F.lit(b"").alias("_packed"), zero.alias("_size"), zero.alias("_slot"), zero.alias("_place")).schema
     columns = {c: F.col(f"_doc.{c}") for c in others} | {"text": F.col("_text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
     part = F.least(F.floor(F.col("_slot") * F.lit(parts) / F.lit(float(max(1, total)))), F.lit(parts - 1)).cast("int")
-    ordered = joined.mapInArrow(work, out).repartitionById(parts, part).sortWithinPartitions("_slot", "_place")
-    return ordered.select(*[columns[c].alias(c) for c in docs.columns])
+    # texts are compressed on their way to their slots
+    ordered = joined.mapInArrow(work, packed).repartitionById(parts, part).sortWithinPartitions("_slot", "_place")
+    return ordered.mapInArrow(unpack, joined.select("_doc", "_text").schema).select(*[columns[c].alias(c) for c in docs.columns])
