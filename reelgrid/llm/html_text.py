@@ -15,9 +15,9 @@ a paragraph), it takes both: such a line goes if it is shared, in an article too
 
 Pages are dealt by ranges of (host, path), so a host with a third of all pages spreads over many tasks; a task's first page
 finds its neighbour in the last one of the task before, one row a task. Only hashes of lines pass between pages; the lines
-themselves travel once, compressed.
+themselves move once, compressed.
 
-Null html is empty, a null url has an empty host and path. Rows that share a page_id are pages of their own. Extra columns
+Null html is empty, a null url has an empty host and path. Rows that share a page_id are pages of their own; rows that are equal in page_id, url and html are judged as one. Extra columns
 are ignored. An empty table gives no rows.
 """
 
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready, saved
+from .common import drop, ready, saved
 
 #: Elements without article text, elements that end a block, elements without an end tag.
 SILENT = frozenset("script style noscript template iframe object embed svg canvas nav header footer aside form button select textarea dialog menu title head".split())
@@ -214,16 +214,26 @@ def kept_lines(said: np.ndarray, lists: np.ndarray, shared: np.ndarray, most: fl
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_lines (lines of the page), n_shared (of these, lines that differencing found to be the
     host's) and n_differenced (of these, lines that the structure alone would have left in the text)."""
-    spark = pages.sparkSession
-    ready(spark)
+    ready(pages.sparkSession)
     host, path = host_and_path(F.col("url").cast("string"))
-    named = pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
+    # two hashes name a page; pages that are equal in page_id, url and html are one
+    named = pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), html)
+    named = named.select(F.xxhash64(F.col("page_id").isNull(), "page_id", "url", "html").alias("k"), F.xxhash64("html", F.col("url").isNull(), "url", "page_id").alias("k2"), "*")
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = []
+            for html in b.column(5).to_pylist():
+                own = lines(html)[0]
+                hashes.append(np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own], np.uint64).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(hashes, pa.binary())], names=["k", "k2", "page_id", "host", "path", "hashes"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = pa.Codec("zstd")
         for b in batches:
-            texts, sizes, said, lists, hashes = [], [], [], [], []
+            texts, sizes, said, lists = [], [], [], []
             for html in b.column(4).to_pylist():
                 own, says, holds = lines(html)
                 data = "\n".join(own).encode("utf-8", "surrogatepass")
@@ -231,15 +241,15 @@ def main_text(pages: DataFrame) -> DataFrame:
                 sizes.append(len(data))
                 said.append(says.tobytes())
                 lists.append(holds.tobytes())
-                hashes.append(np.array([xxhash.xxh3_64_intdigest(x) for x in data.split(b"\n")] if own else [], np.uint64).tobytes())
-            more = [pa.array(texts, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (said, lists, hashes)]]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], *more], names=["page_id", "url", "host", "path", "lines", "size", "said", "lists", "hashes"])
-
-    blocks = named.mapInArrow(read, f"page_id {kind}, url string, host string, path string, lines binary, size long, said binary, lists binary, hashes binary")
-    blocks = saved(blocks.withColumn("row", F.monotonically_increasing_id()), "blocks")
-    order = ["host", "path", "page_id", "row"]
-    narrow = blocks.select(*order, "hashes")
-    dealt = saved(narrow.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "dealt")
+            more = [pa.array(texts, pa.binary()), pa.array(sizes, pa.int64()), pa.array(said, pa.binary()), pa.array(lists, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *more], names=["k", "k2", "page_id", "url", "lines", "size", "said", "lists"])
+
+    # pages are parsed once for their lines' hashes, which meet, and once more for the lines, which then are shuffled only once
+    order = ["host", "path", "page_id", "k", "k2"]
+    narrow = named.select("k", "k2", "page_id", "host", "path", "html").mapInArrow(outline, f"k long, k2 long, page_id {kind}, host string, path string, hashes binary")
+    narrow = saved(narrow, "outlines")
+    dealt = saved(narrow.dropDuplicates(["k", "k2"]).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "dealt")
+    drop(narrow)
     by = Window.partitionBy("part").orderBy(*order)
     side = F.struct("host", "path", "hashes")
     near = dealt.withColumn("before", F.lag(side).over(by)).withColumn("after", F.lead(side).over(by))
@@ -253,12 +263,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             marks = []
-            for path, own, before, after in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            for path, own, before, after in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 beside = [(x["path"], np.frombuffer(x["hashes"], np.uint64)) for x in (before, after) if x]
                 marks.append(shared_lines(np.frombuffer(own, np.uint64), path, beside).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary())], names=["row", "shared"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(marks, pa.binary())], names=["k", "k2", "shared"])
 
-    shared = near.select("row", "path", "hashes", ours("before"), ours("after")).mapInArrow(find, "row long, shared binary")
+    shared = near.select("k", "k2", "path", "hashes", ours("before"), ours("after")).mapInArrow(find, "k long, k2 long, shared binary")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = pa.Codec("zstd")
@@ -274,6 +284,6 @@ def main_text(pages: DataFrame) -> DataFrame:
             more = [pa.array(list(c), pa.int64()) for c in zip(*counts, strict=True)] if counts else [pa.array([], pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([col["page_id"], col["url"], pa.array(texts, pa.string()), *more], names=["page_id", "url", "text", "n_lines", "n_shared", "n_differenced"])
 
-    both = blocks.select("row", "page_id", "url", "lines", "size", "said", "lists").join(shared, "row")
-    out = both.mapInArrow(judge, f"page_id {kind}, url string, text string, n_lines long, n_shared long, n_differenced long")
+    packed = named.select("k", "k2", "page_id", "url", "html").mapInArrow(pack, f"k long, k2 long, page_id {kind}, url string, lines binary, size long, said binary, lists binary")
+    out = packed.join(shared, ["k", "k2"]).mapInArrow(judge, f"page_id {kind}, url string, text string, n_lines long, n_shared long, n_differenced long")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_differenced")
