@@ -36,8 +36,17 @@ def remap_code(index: Column) -> Column:
     return F.get(F.array(*[F.lit(c) for c in TYPE_CODES]), index.cast("int"))
 
 
-#: The 128 magnitudes of difference codes: steps that widen from 8 to 4096.
-MAGNITUDES = [0, 8, *range(16, 513, 16), *range(520, 1025, 8), *range(1088, 2049, 64), *range(2304, 4097, 256), *range(5120, 8193, 1024), 12288, 16384]
+# The 128 magnitudes of difference codes.
+MAGNITUDES = [
+    0, 8, 16, 32, 48, 64, 80, 96, 112, 128, 144, 160, 176, 192, 208, 224,
+    240, 256, 272, 288, 304, 320, 336, 352, 368, 384, 400, 416, 432, 448, 464, 480,
+    496, 512, 520, 528, 536, 544, 552, 560, 568, 576, 584, 592, 600, 608, 616, 624,
+    632, 640, 648, 656, 664, 672, 680, 688, 696, 704, 712, 720, 728, 736, 744, 752,
+    760, 768, 776, 784, 792, 800, 808, 816, 824, 832, 840, 848, 856, 864, 872, 880,
+    888, 896, 904, 912, 920, 928, 936, 944, 952, 960, 968, 976, 984, 992, 1000, 1008,
+    1016, 1024, 1088, 1152, 1216, 1280, 1344, 1408, 1472, 1536, 1600, 1664, 1728, 1792, 1856, 1920,
+    1984, 2048, 2304, 2560, 2816, 3072, 3328, 3584, 3840, 4096, 5120, 6144, 7168, 8192, 12288, 16384,
+]
 
 
 def magnitude(code: Column) -> Column:

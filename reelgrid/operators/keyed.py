@@ -66,6 +66,11 @@ def pick(resources: DataFrame, wanted: DataFrame, key: str, order: list[str]) ->
     return first.join(wanted.select(key, F.col("ord").alias("pick_ord")), key)
 
 
+def counts_by_type(index: DataFrame) -> DataFrame:
+    """type, n (its rows) and distinct_n (its distinct numbers), by one aggregation."""
+    return index.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("number").alias("distinct_n"))
+
+
 def count_by_type(index: DataFrame, distinct: bool = False) -> DataFrame:
     rows = index.select("type", "number").distinct() if distinct else index
     return rows.groupBy("type").agg(F.count("*").alias("n"))

@@ -340,8 +340,7 @@ def agg09_unsupported_methods(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {fx.INDEX} SELECT type, count(*) AS n, count(DISTINCT number) AS distinct_n FROM idx GROUP BY 1")
 def agg01_count_by_type(spark: SparkSession, d: str) -> DataFrame:
-    i = fx.index(spark, d)
-    return keyed.count_by_type(i).join(keyed.count_by_type(i, distinct=True).withColumnRenamed("n", "distinct_n"), "type")
+    return keyed.counts_by_type(fx.index(spark, d))
 
 
 @query(f"WITH {fx.PIXELS} SELECT clip_id, frame_no, min(x) FILTER (idx > 250 AND idx < 255) AS min_x, min(y) FILTER (idx > 250 AND idx < 255) AS min_y, max(x) FILTER (idx > 250 AND idx < 255) AS max_x, max(y) FILTER (idx > 250 AND idx < 255) AS max_y, max(x) FILTER (idx > 250 AND idx < 255) - min(x) FILTER (idx > 250 AND idx < 255) + 1 AS w, max(y) FILTER (idx > 250 AND idx < 255) - min(y) FILTER (idx > 250 AND idx < 255) + 1 AS h FROM pixels GROUP BY ALL")
@@ -422,7 +421,17 @@ def win02_section_sizes(spark: SparkSession, d: str) -> DataFrame:
     return ordered.section_sizes(directory, ["clip_id"], ["frame_no"], F.lit(70000)).select("clip_id", "frame_no", "size")
 
 
-_MAG = f"[{', '.join(map(str, fk.MAGNITUDES))}]"
+# Fixed values, stated for the SQL on its own: the magnitudes of difference codes.
+_MAG = """[
+0, 8, 16, 32, 48, 64, 80, 96, 112, 128, 144, 160, 176, 192, 208, 224,
+240, 256, 272, 288, 304, 320, 336, 352, 368, 384, 400, 416, 432, 448, 464, 480,
+496, 512, 520, 528, 536, 544, 552, 560, 568, 576, 584, 592, 600, 608, 616, 624,
+632, 640, 648, 656, 664, 672, 680, 688, 696, 704, 712, 720, 728, 736, 744, 752,
+760, 768, 776, 784, 792, 800, 808, 816, 824, 832, 840, 848, 856, 864, 872, 880,
+888, 896, 904, 912, 920, 928, 936, 944, 952, 960, 968, 976, 984, 992, 1000, 1008,
+1016, 1024, 1088, 1152, 1216, 1280, 1344, 1408, 1472, 1536, 1600, 1664, 1728, 1792, 1856, 1920,
+1984, 2048, 2304, 2560, 2816, 3072, 3328, 3584, 3840, 4096, 5120, 6144, 7168, 8192, 12288, 16384
+]"""
 _SAMPLES = fx.CODES + f", st AS (SELECT *, ord // 10 AS part, {_MAG}[code % 128 + 1] * CASE WHEN code >= 128 THEN -1 ELSE 1 END AS step FROM codes), sm AS (SELECT packet, part, ord, CAST(((sum(step) OVER (PARTITION BY packet, part ORDER BY ord) + 32768) % 65536 + 65536) % 65536 - 32768 AS BIGINT) AS sample FROM st)"
 
 
@@ -534,16 +543,16 @@ def win12_first_per_group(spark: SparkSession, d: str) -> DataFrame:
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.contents(spark, d).withColumn("size", F.length("content")).where("size >= 100")
-    return rows.withColumn("pos", F.explode(F.sequence(F.lit(50), F.least(c("size"), F.lit(400)) - 2))).select("doc_id", "size", "pos", by.little(c("content"), c("pos"), 2).alias("v"))
+    return rows.withColumn("pos", F.explode(F.sequence(F.lit(50), c("size") - 5))).select("doc_id", "size", "pos", by.little(c("content"), c("pos"), 2).alias("v"))
 
 
-_U16 = "b AS (SELECT doc_id, encode(text) AS content, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, size, pos, CAST('0x' || hex(content[pos + 2:pos + 2]) || hex(content[pos + 1:pos + 1]) AS BIGINT) AS v FROM (SELECT *, unnest(range(50, least(size, 400) - 1)) AS pos FROM b WHERE size >= 100))"
+_U16 = "b AS (SELECT doc_id, encode(text) AS content, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, size, pos, CAST('0x' || hex(content[pos + 2:pos + 2]) || hex(content[pos + 1:pos + 1]) AS BIGINT) AS v FROM (SELECT *, unnest(range(50, size - 4)) AS pos FROM b WHERE size >= 100))"
 
 
-@query(f"WITH {_U16} SELECT doc_id, min(pos) FILTER (v % 1000 < 40 AND pos + 2 + 2 * (v % 1000) <= size) AS first_pos FROM w GROUP BY 1")
+@query(f"WITH {_U16} SELECT doc_id, min(pos) FILTER (v % 1000 BETWEEN 1 AND 39 AND pos + 2 + 2 * (v % 1000) <= size) AS first_pos FROM w GROUP BY 1")
 def win13_first_satisfying(spark: SparkSession, d: str) -> DataFrame:
     n = c("v") % 1000
-    return ordered.first_satisfying(_words(spark, d), ["doc_id"], c("pos"), (n < 40) & (c("pos") + 2 + 2 * n <= c("size")))
+    return ordered.first_satisfying(_words(spark, d), ["doc_id"], c("pos"), (n > 0) & (n < 40) & (c("pos") + 2 + 2 * n <= c("size")))
 
 
 @query(f"""WITH {fx.EVENTS}, m AS (SELECT stream, pos, op, lead(op) OVER (PARTITION BY stream ORDER BY pos) AS nx, list(k) OVER (PARTITION BY stream ORDER BY pos ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING) AS ctx FROM ev) SELECT stream, pos, list_aggregate(ctx, 'string_agg', ',') AS context FROM m WHERE op = 'click' AND nx = 'purchase'""")
@@ -607,6 +616,14 @@ def src06_parse_position_lines(spark: SparkSession, d: str) -> DataFrame:
     return files.parse_position_lines(fx.lines(spark, d))
 
 
+@query(f"""WITH {fx.LINES}, p AS (SELECT ord, line, regexp_matches(line, {_NUM}) AS simple, contains(line, 'Robot ') AND contains(line, 'at (x=') AS worded FROM lines),
+r AS (SELECT CAST(CASE WHEN simple THEN regexp_extract(line, {_NUM}, 1) ELSE regexp_extract(line, 'Robot (\\d+)', 1) END AS INTEGER) % 50 AS clip_id, ord FROM p WHERE simple OR worded)
+SELECT clip_id, max(ord) AS ord FROM r GROUP BY 1""")
+def src06_last_position_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = files.parse_position_lines(fx.lines(spark, d)).withColumn("clip_id", c("clip_id") % 50)
+    return files.last_positions(lines).select("clip_id", "ord")
+
+
 @query(f"WITH {fx.CELS}, {fx.PALETTE} SELECT k AS clip_id, i AS idx, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM (SELECT DISTINCT clip_id % 5 AS k FROM cels) CROSS JOIN range(256) t(i) LEFT JOIN palette ON palette.idx = i AND (i + k) % 3 > 0")
 def src11_palette_dimension(spark: SparkSession, d: str) -> DataFrame:
     some = fx.cels(spark, d).select((c("clip_id") % 5).alias("clip_id")).distinct()
@@ -843,17 +860,17 @@ def src07_explode_fixed_records(spark: SparkSession, d: str) -> DataFrame:
     return files.explode_fixed_records(maps, sized, width)
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 3 AS kind, o_orderkey % 65536 AS number, o_custkey % 200 + 1 AS n, 200 AS room FROM orders)
-SELECT o_orderkey, CASE kind WHEN 0 THEN '13' WHEN 1 THEN '10' ELSE '6' END AS dialect, CASE kind WHEN 0 THEN n % 33 WHEN 1 THEN n % 9 ELSE 0 END AS method, n AS packed_size, CASE kind WHEN 0 THEN n * 2 WHEN 1 THEN n * 3 ELSE n END AS size,
-CAST(NULL AS VARCHAR) AS reason FROM o WHERE n <= 150""")
+@query("""WITH o AS (SELECT o_orderkey, o_custkey % 200 + 1 AS n, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 200 + 1 < 150 THEN 13 WHEN o_orderkey % 3 = 1 THEN 10 ELSE 6 END AS h FROM orders)
+SELECT o_orderkey, CAST(h AS VARCHAR) AS dialect, CASE h WHEN 13 THEN n % 33 WHEN 10 THEN n % 9 ELSE 0 END AS method, n AS packed_size, CASE h WHEN 13 THEN n * 2 WHEN 10 THEN n * 3 ELSE n END AS size,
+CASE WHEN n > 150 THEN 'size over volume' WHEN h + n > 150 THEN 'payload past end' END AS reason FROM o""")
 def src09_decode_resource_header(spark: SparkSession, d: str) -> DataFrame:
     k, n = c("o_orderkey"), c("n")
-    rows = fx.table(spark, d, "orders").select("o_orderkey", (c("o_custkey") % 200 + 1).alias("n")).where("n <= 150")
+    rows = fx.table(spark, d, "orders").select("o_orderkey", (c("o_custkey") % 200 + 1).alias("n"))
     long = F.concat(F.lit("00"), _le(k % 65536, 2), _le(n, 4), _le(n * 2, 4), _le(n % 33, 2))
     mid = F.concat(F.lit("81"), _le(k % 65536, 2), _le(n, 3), _le(n % 9, 1), _le(n * 3, 3), F.lit("FFFFFF"))
     short = F.concat(F.lit("01"), _le(k % 65536, 2), _le(n, 3), F.lit("FFFFFFFFFFFFFF"))
     content = F.unhex(F.concat(F.when(k % 3 == 0, long).when(k % 3 == 1, mid).otherwise(short), F.lit("00" * 200)))
-    out = files.decode_resource_header(rows.select("o_orderkey", content.alias("content"), F.lit(0).alias("offset"), F.lit(213).cast("bigint").alias("volume_size")))
+    out = files.decode_resource_header(rows.select("o_orderkey", content.alias("content"), F.lit(0).alias("offset"), F.lit(150).cast("bigint").alias("volume_size")))
     return out.select("o_orderkey", "dialect", "method", "packed_size", "size", "reason")
 
 

@@ -56,6 +56,12 @@ def parse_position_lines(lines: DataFrame, line: str = "line", order: str = "ord
     return rows.where("clip_id is not null and x is not null and y is not null")
 
 
+def last_positions(positions: DataFrame) -> DataFrame:
+    """Of each clip_id the position of the last line (greatest ord), as when a later line overwrites an earlier one."""
+    last = F.max_by(F.struct("x", "y", "ord"), F.col("ord"))
+    return positions.groupBy("clip_id").agg(last.alias("_last")).select("clip_id", "_last.*")
+
+
 def read_directory(maps: DataFrame) -> DataFrame:
     """The section directory of index shards: volume, ord, type, offset, up to and with the terminator (type 31)."""
     c = F.col("content")
