@@ -47,9 +47,11 @@ HINT = re.compile(rf"[_-]{_WORDS}(?:$|[\s_-])", re.I)
 HOLDERS = frozenset("div section ul ol dl table tbody tr td span figure fieldset details center".split())
 LISTS = frozenset("ul ol dl table".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-SPACE = re.compile(r"\s+")
 #: What the structure says of a line: no article text, a hint of that, nothing, headline, article.
 GONE, HINTED, OPEN, HEAD, TEXT = range(5)
+#: Elements that raise no count unless an attribute does.
+PLAIN = frozenset("p li a b i em strong span div ul ol dl dt dd table tbody tr td th section html body blockquote pre code small sub sup u".split())
+NONE: dict[str, int] = {}
 #: Elements whose text is none of the page's.
 MUTE = frozenset("script style noscript template iframe object embed svg canvas select textarea button title head".split())
 
@@ -67,7 +69,9 @@ class _Reader(HTMLParser):
         self.lines: list[tuple[str, int, int]] = []
 
     def cut(self) -> None:
-        line = SPACE.sub(" ", "".join(self.parts)).strip()
+        if not self.parts:
+            return
+        line = " ".join("".join(self.parts).split())
         self.parts.clear()
         if line:
             c = self.counts
@@ -76,6 +80,8 @@ class _Reader(HTMLParser):
 
     def _said(self, tag: str, attrs: list) -> dict[str, int]:
         """Which counts an element raises."""
+        if not attrs and tag in PLAIN:
+            return NONE
         out = {"mute": tag in MUTE, "head": tag in ("h1", "h2", "h3", "h4", "h5", "h6")}
         said = {k: v or "" for k, v in attrs}
         role = said.get("role", "").lower()

@@ -87,7 +87,7 @@ def metrics(prior: bool = False) -> dict[str, Column]:
     return {m: share(a, b, more) for m, (a, b, more, _, _) in METRICS.items()}
 
 
-def thresholds(stats: DataFrame, width: float = 4.0, least: int = 30, accuracy: int = 10_000) -> DataFrame:
+def thresholds(stats: DataFrame, width: float = 5.0, least: int = 30, accuracy: int = 10_000) -> DataFrame:
     """Per (lang, source) of the written table stats: low_* and high_* of each metric. Documents that fail the base rules set no thresholds."""
     values = stats.where(~base_failed()).select("lang", "source", *[c.alias(m) for m, c in metrics(prior=True).items()])
     sketch = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in METRICS]

@@ -85,8 +85,8 @@ def _op10_sql() -> str:
     for m, (_, _, _, low) in rules.items():
         q = pick(m)
         if low:
-            tests.append(f"coalesce({m} >= {q}[1] - ({q}[2] - {q}[1]) * 4.0, true)")
-        tests.append(f"coalesce({m} <= {q}[2] + ({q}[2] - {q}[1]) * 4.0, true)")
+            tests.append(f"coalesce({m} >= {q}[1] - ({q}[2] - {q}[1]) * 5.0, true)")
+        tests.append(f"coalesce({m} <= {q}[2] + ({q}[2] - {q}[1]) * 5.0, true)")
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
