@@ -532,7 +532,7 @@ def win10_carry_forward(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {fx.INDEX}, b AS (SELECT *, number % 5 > 0 AS base FROM idx), m AS (SELECT *, coalesce(max("offset") FILTER (base) OVER (PARTITION BY type, number ORDER BY volume, rec, rec2, "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM b) SELECT type, number, volume, count(*) FILTER (base AND ("offset" = 0 OR "offset" >= top)) AS valid, count(*) AS n FROM m GROUP BY ALL""")
 def win11_monotone_valid(spark: SparkSession, d: str) -> DataFrame:
-    out = ordered.monotone_valid(fx.index(spark, d), ["type", "number"], ["volume", "rec", "rec2", "offset"], c("number") % 5 > 0)
+    out = ordered.monotone_valid(fx.index(spark, d), ["type", "number"], ["volume", "rec", "rec2", "offset"], c("number") % 5 > 0, place=F.shiftleft(c("volume").cast("bigint"), 40) + c("rec"), levels=3)
     return out.groupBy("type", "number", "volume").agg(F.count_if("valid").alias("valid"), F.count("*").alias("n"))
 
 
@@ -557,7 +557,7 @@ def win13_first_satisfying(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {fx.EVENTS}, m AS (SELECT stream, pos, op, lead(op) OVER (PARTITION BY stream ORDER BY pos) AS nx, list(k) OVER (PARTITION BY stream ORDER BY pos ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING) AS ctx FROM ev) SELECT stream, pos, list_aggregate(ctx, 'string_agg', ',') AS context FROM m WHERE op = 'click' AND nx = 'purchase'""")
 def win14_match_context(spark: SparkSession, d: str) -> DataFrame:
-    out = ordered.match_context(fx.events(spark, d), ["stream"], ["pos"], c("op") == "click", c("op") == "purchase", "k")
+    out = ordered.match_context(fx.events(spark, d), ["stream"], "pos", c("op") == "click", c("op") == "purchase", "k")
     return out.select("stream", "pos", F.array_join("context", ",").alias("context"))
 
 
@@ -585,7 +585,7 @@ def lim04_head_per_group(spark: SparkSession, d: str) -> DataFrame:
 def lim01_sorted_index(spark: SparkSession, d: str) -> DataFrame:
     """The merged index in order of (type, number), with each entry's rank in its type."""
     merged = keyed.merge_index(fx.index(spark, d))
-    return merged.select("type", "number", "offset", F.row_number().over(Window.partitionBy("type").orderBy("number")).alias("rank")).orderBy("type", "number")
+    return ordered.ranked(merged.select("type", "number", "offset"), ["type"], ["number"], bucket_rows=1 << 12).orderBy("type", "number")
 
 
 # ---- sources and inference, as tables
@@ -637,8 +637,7 @@ v AS (SELECT g, count(*) FILTER (o6 < 150000000) AS v6, count(*) FILTER (base AN
 SELECT g, v6, v9, CASE WHEN v6 >= n * 0.5 AND v6 > v9 THEN 'six' WHEN v9 >= n * 0.5 THEN 'nine' ELSE 'unknown' END AS format FROM v""")
 def src13_sniff_format(spark: SparkSession, d: str) -> DataFrame:
     number = c("number")
-    w = Window.partitionBy("g").orderBy("rec", "volume", "rec2", "offset", "type")
-    rows = fx.index(spark, d).withColumn("g", number % 50).withColumn("n", F.row_number().over(w))
+    rows = ordered.head_per_group(fx.index(spark, d).withColumn("g", number % 50), ["g"], ["rec", "volume", "rec2", "offset", "type"], 100, number="n")
     rows = rows.select("g", "n", F.lit(0).alias("number6"), F.when(number % 50 > 25, c("offset") * 2000).otherwise(c("offset")).alias("offset6"), (128 + number % 24).alias("type9"), number.alias("number9"), F.when(number % 3 == 0, 0).otherwise(c("n") * 10 + number % 7 * (number % 50)).alias("offset9"))
     return infer.sniff_format(rows, ["g"], ["n"])
 
@@ -815,8 +814,8 @@ def doc12_stereo(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {fx.CODES}, st AS (SELECT packet, ord, {_MAG}[code % 128 + 1] * CASE WHEN code >= 128 THEN -1 ELSE 1 END AS step FROM codes), f AS (SELECT packet, ord, greatest(-32768, least(32767, step)) AS sample FROM st WHERE ord = 0 UNION ALL SELECT st.packet, st.ord, greatest(-32768, least(32767, f.sample + st.step)) FROM f JOIN st ON st.packet = f.packet AND st.ord = f.ord + 1) SELECT packet, count(*) AS n, CAST(sum(sample) AS BIGINT) AS total, CAST(arg_max(sample, ord) AS INTEGER) AS last FROM f GROUP BY 1""")
 def doc12_saturating(spark: SparkSession, d: str) -> DataFrame:
-    out = sound.saturating_cumsum(fx.codes(spark, d), ["packet"], ["ord"])
-    return out.select("packet", F.size("samples").cast("bigint").alias("n"), F.aggregate("samples", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.element_at("samples", -1).alias("last"))
+    out = sound.saturating_samples(fx.codes(spark, d), ["packet"])
+    return out.groupBy("packet").agg(F.count("*").alias("n"), F.sum("sample").alias("total"), F.max_by("sample", "ord").alias("last"))
 
 
 # ---- binary layouts: bytes written from the tables by expressions, read back by the operators

@@ -23,7 +23,7 @@ def sniff_format(rows: DataFrame, by: list[str], order: list[str], sample: int =
     top = head_per_group(rows, by, order, sample)
     ok6 = (F.col("offset6") < 150_000_000) & (F.col("number6") < 65536)
     base9 = F.col("type9").between(0x80, 0x95) & (F.col("offset9") < 150_000_000) & (F.col("number9") < 100_000)
-    marked = monotone_valid(top.withColumn("offset", F.col("offset9")), by, order, F.coalesce(base9, F.lit(False)))
+    marked = monotone_valid(top.withColumn("offset", F.col("offset9")), by, order, F.coalesce(base9, F.lit(False)), bucket_rows=None)
     votes = marked.groupBy(*by).agg(F.count_if(ok6).alias("v6"), F.count_if("valid").alias("v9"), F.greatest(F.count("offset6"), F.count("offset9")).alias("n"))
     six = (F.col("v6") >= F.col("n") * threshold) & (F.col("v6") > F.col("v9"))
     return votes.select(*by, "v6", "v9", F.when(six, "six").when(F.col("v9") >= F.col("n") * threshold, "nine").otherwise("unknown").alias("format"))
@@ -39,6 +39,6 @@ def resolve_order(frames: DataFrame, by: list[str], order: list[str], plausible:
     tried = F.array(*[F.struct(F.lit(i).alias("cand"), F.lit(b).alias("cand_base"), F.lit(o).alias("cand_order")) for i, (b, o) in enumerate(((0, "A"), (0, "B"), (6, "A"), (6, "B")))])
     every = top.withColumn("_c", F.explode(tried)).select("*", "_c.*").drop("_c")
     every = every.withColumn("cand_size", F.when(F.col("cand_order") == "A", F.col("b_size")).otherwise(F.col("a_size")))
-    every = record_offsets(every, [*by, "cand"], order, "cand_size", F.col("cand_base"), 1).withColumnRenamed("record_pos", "cand_pos")
+    every = record_offsets(every, [*by, "cand"], order, "cand_size", F.col("cand_base"), 1, bucket_rows=None).withColumnRenamed("record_pos", "cand_pos")
     votes = every.groupBy(*by, "cand", "cand_base", "cand_order").agg(F.count_if(plausible).alias("score"))
     return votes.groupBy(*by).agg(F.max_by(F.struct("cand_base", "cand_order", "score"), F.struct("score", -F.col("cand"))).alias("_v")).select(*by, "_v.*")
