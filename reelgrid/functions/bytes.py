@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,3 +99,18 @@ def align_up(value: Column, n: int) -> Column:
 
 def hex_lower(value: Column) -> Column:
     return F.lower(F.hex(value))
+
+
+def first_u16(content: Column, first: int, last: Column, condition: Callable[[Column, Column], Column], piece: int = 512) -> Column:
+    """The least position from first to last whose little-endian 16-bit number v fulfils condition(v, position), null if there is none. The search stays inside the row, goes by pieces, and reads no piece after the one with the first hit."""
+    pieces = F.when(last >= first, F.sequence(F.lit(0), F.floor((last - first) / piece).cast("int")))
+
+    def hit(k: Column) -> Column:
+        start = first + k * piece
+        # a binary piece as characters 0 to 255, then as numbers; the array makes it one value for the places below
+        text = F.decode(F.substring(content, start + 1, F.lit(piece + 1)), "ISO-8859-1")
+        codes = F.array(F.transform(F.split(text, ""), F.ascii))
+        places = F.sequence(F.lit(0), F.least(F.lit(piece - 1), last - start))
+        return F.get(F.transform(codes, lambda a: F.array_min(F.transform(F.filter(places, lambda i: condition(F.get(a, i) + 256 * F.get(a, i + 1), start + i)), lambda i: start + i))), F.lit(0))
+
+    return F.aggregate(pieces, F.lit(None).cast("int"), lambda found, k: F.when(found.isNotNull(), found).otherwise(hit(k)))

@@ -43,6 +43,17 @@ def render_mode(found: Column, x: Column, y: Column, rule: str = "A") -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), F.lit("canvas")).otherwise(F.lit("crop"))
 
 
+def canvas_size(found: Column, max_w: Column, max_h: Column, canvas: tuple[Column | int, Column | int] | None = None) -> tuple[Column, Column]:
+    """Width and height of what a clip is drawn on: with a position the given canvas (where it is null or not above 0, the
+    usual one), else the extents of its pictures, or the usual canvas if it has none."""
+    def one(i: int, most: Column) -> Column:
+        usual = F.lit(RESOLUTIONS[0][i])
+        given = F.lit(None).cast("int") if canvas is None else canvas[i] if isinstance(canvas[i], Column) else F.lit(canvas[i])
+        return F.when(F.coalesce(found, F.lit(False)), F.when(given > 0, given).otherwise(usual)).otherwise(F.coalesce(most, usual))
+
+    return one(0, max_w), one(1, max_h)
+
+
 def place(px: Column, py: Column, cx: Column, cy: Column, h: Column, mode: str = "compose", canvas: Column | bool = True) -> tuple[Column, Column]:
     """Where a cel goes. "compose" adds the clip's position on a canvas; "helper" also takes the cel's height off y."""
     on = F.lit(canvas) if isinstance(canvas, bool) else canvas

@@ -71,11 +71,6 @@ def counts_by_type(index: DataFrame) -> DataFrame:
     return index.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("number").alias("distinct_n"))
 
 
-def count_by_type(index: DataFrame, distinct: bool = False) -> DataFrame:
-    rows = index.select("type", "number").distinct() if distinct else index
-    return rows.groupBy("type").agg(F.count("*").alias("n"))
-
-
 def run_summary(results: DataFrame, ok: str = "ok") -> DataFrame:
     """total, success, failed, exit_code: one row."""
     out = results.agg(F.count("*").alias("total"), F.count_if(F.col(ok)).alias("success"))

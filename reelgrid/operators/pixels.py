@@ -99,9 +99,10 @@ def max_extents(cels: DataFrame, by: list[str]) -> DataFrame:
     return most.select(*by, align_up(F.col("w"), 2).alias("max_w"), align_up(F.col("h"), 2).alias("max_h"))
 
 
-def fragment_bbox(fragments: DataFrame, by: list[str]) -> DataFrame:
-    """min_x, min_y, max_x; fragments have no height, so there is no max_y."""
-    return fragments.groupBy(*by).agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max(F.col("x") + F.col("width")).alias("max_x"), F.lit(None).cast("bigint").alias("max_y"))
+def fragment_bbox(fragments: DataFrame, by: list[str], mode: str = "spec") -> DataFrame:
+    """min_x, min_y, max_x, max_y; fragments have no height, so max_y is null, or in mode compat what it starts with, -32767."""
+    top = F.lit(None if mode == "spec" else -32767).cast("bigint")
+    return fragments.groupBy(*by).agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max(F.col("x") + F.col("width")).alias("max_x"), top.alias("max_y"))
 
 
 def has_mixed_size(frames: DataFrame, by: list[str], w: Column, h: Column) -> DataFrame:
@@ -135,3 +136,29 @@ def collapse_runs(values: DataFrame, keys: list[str], order: list[str]) -> DataF
 
 def normalize_u8(value: Column) -> Column:
     return (value.cast("float") / F.lit(255).cast("float")).cast("float")
+
+
+def overlay_runs(runs: DataFrame, line: list[str], order: list[str], value: str = "idx") -> DataFrame:
+    """Runs (line, order, start, count, value) laid over one another: line, start, count, value, where the last writer shows.
+
+    Each line is cut at every run's ends. Between two neighbouring cuts all pixels have the same writers, so one row takes the
+    place of as many pixels; neighbouring intervals of one value become one run again. A line is a row of a frame, so
+    windows see at most twice the runs of it.
+    """
+    live = runs.where(F.col("count") > 0).select(*line, *order, "start", (F.col("start") + F.col("count")).alias("_end"), value)
+    by = Window.partitionBy(*line).orderBy("_from")
+    cuts = live.select(*line, F.explode(F.array("start", "_end")).alias("_from")).distinct().withColumn("_to", F.lead("_from").over(by)).where("_to is not null")
+    cuts = cuts.select(*[F.col(k).alias(f"_{k}") for k in line], "_from", "_to")
+    same = [live[k].eqNullSafe(cuts[f"_{k}"]) for k in line]
+    on = live.join(cuts, [*same, F.col("start") <= F.col("_from"), F.col("_from") < F.col("_end")])
+    top = on.groupBy(*line, "_from", "_to").agg(F.max_by(value, F.struct(*order)).alias(value))
+    joined = (F.lag("_to").over(by) == F.col("_from")) & F.lag(value).over(by).eqNullSafe(F.col(value))
+    numbered = top.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by))
+    return numbered.groupBy(*line, "_run", value).agg(F.min("_from").alias("start"), (F.max("_to") - F.min("_from")).alias("count")).select(*line, "start", "count", value)
+
+
+def runs_bbox(runs: DataFrame, by: list[str], value: str = "idx") -> DataFrame:
+    """visible_bbox() from runs: their ends are all that it needs."""
+    seen = lambda c: F.when((F.col(value) != SKIP) & (F.col("count") > 0), c)
+    box = runs.groupBy(*by).agg(F.min(seen(F.col("start"))).alias("min_x"), F.min(seen(F.col("y"))).alias("min_y"), F.max(seen(F.col("start") + F.col("count") - 1)).alias("max_x"), F.max(seen(F.col("y"))).alias("max_y"))
+    return box.select("*", (F.col("max_x") - F.col("min_x") + 1).alias("w"), (F.col("max_y") - F.col("min_y") + 1).alias("h"))

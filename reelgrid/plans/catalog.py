@@ -177,16 +177,23 @@ def prj11_valid_fragments(spark: SparkSession, d: str) -> DataFrame:
     return fx.cels(spark, d).where(fc.valid_fragment(c("x"), c("y"), c("w"), c("h"))).groupBy("clip_id").agg(F.count("*").alias("n"))
 
 
-def _case(names: dict[int, str], expr: str, default: str) -> str:
-    return f"CASE {expr} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in names.items()) + f" ELSE '{default}' END"
+def _case(names: str, expr: str, default: str) -> str:
+    return f"CASE {expr} " + " ".join("WHEN {} THEN '{}'".format(*x.split(":")) for x in names.split("|")) + f" ELSE '{default}' END"
 
 
-@query(f"SELECT p_partkey, {_case(fk.TYPE_NAMES, '(p_size + 120)', 'Unknown')} AS type_name, {_case(fk.METHOD_NAMES, 'p_size', 'Unknown')} AS method_name, {_case(fk.METHOD_FAMILIES, 'p_size', 'unsupported')} AS family FROM part")
+# Fixed values, stated for the SQL on its own: names and families by code, and type codes by section index.
+_TYPES = "128:Script|129:Sound|130:Memory|131:Text|132:Font|133:Cursor|134:Vocab|135:Pic|136:View|137:Patch|138:Bitmap|139:Palette|141:Audio|142:Sync|143:Message|144:Chunk|145:Heap|146:Audio36|147:Sync36|148:RobotData|149:AudioMap"
+_METHODS = "0:None|3:RLE Simple|4:RLE Advanced|5:Huffman|6:LZ-Bit|10:RLE+Huffman|12:LZ Advanced|14:STACpack Old|32:LZS/STACpack|49:LZSS 0x31|52:RLE 0x34|56:Huffman V56|60:DPCM Audio|123:STACpack/LZS (0x7B)"
+_FAMILIES = "0:none|3:rle|4:rle|5:huffman|6:lz|8:none|10:rle+huffman|12:lz|13:lz|14:stac|32:stac|49:lz|52:rle|56:huffman|123:stac"
+_CODES = "[136, 135, 128, 131, 129, 130, 134, 132, 133, 137, 138, 139, 140, 141, 142, 143, 144, 145, 146, 147, 148, 149]"
+
+
+@query(f"SELECT p_partkey, {_case(_TYPES, '(p_size + 120)', 'Unknown')} AS type_name, {_case(_METHODS, 'p_size', 'Unknown')} AS method_name, {_case(_FAMILIES, 'p_size', 'unsupported')} AS family FROM part")
 def prj12_decode_enum(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "part").select("p_partkey", fk.decode_enum(c("p_size") + 120, "type").alias("type_name"), fk.decode_enum(c("p_size"), "method").alias("method_name"), fk.decode_enum(c("p_size"), "family").alias("family"))
 
 
-@query(f"SELECT p_partkey, [{', '.join(map(str, fk.TYPE_CODES))}][p_size % 32 + 1] AS type FROM part WHERE p_size % 32 <= 21")
+@query(f"SELECT p_partkey, {_CODES}[p_size % 32 + 1] AS type FROM part WHERE p_size % 32 <= 21")
 def prj13_remap_code(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "part").select("p_partkey", fk.remap_code(c("p_size") % 32).alias("type")).where("type is not null")
 
@@ -330,7 +337,7 @@ def set01_append(spark: SparkSession, d: str) -> DataFrame:
     return keyed.append_all([p.where("ord % 2 = 0"), p.where("ord % 3 = 0")])
 
 
-@query(f"SELECT DISTINCT p_size AS method FROM part WHERE {_case(fk.METHOD_FAMILIES, 'p_size', 'unsupported')} = 'unsupported'")
+@query(f"SELECT DISTINCT p_size AS method FROM part WHERE {_case(_FAMILIES, 'p_size', 'unsupported')} = 'unsupported'")
 def agg09_unsupported_methods(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "part").where(fk.decode_enum(c("p_size"), "family") == "unsupported").select(c("p_size").alias("method")).distinct()
 
@@ -390,7 +397,7 @@ def agg10_nest_clips(spark: SparkSession, d: str) -> DataFrame:
     return nested.select("clip_id", F.size("frames").cast("bigint").alias("frames"), total.alias("fragments"), F.array_join(F.transform("frames", one), ";").alias("listed"))
 
 
-@query(f"""WITH {fx.CLIPS}, {fx.CELS}, {_EXTENTS}, {fx.POSITIONS}, {_FIRST} SELECT c.clip_id, frames, fps, CASE WHEN fps > 0 THEN round(frames / CAST(fps AS DOUBLE), 2) END AS seconds, CASE WHEN px IS NULL THEN max_w ELSE 630 END AS canvas_w, CASE WHEN px IS NULL THEN max_h ELSE 450 END AS canvas_h, px AS x, py AS y, has_audio, palette_size // 3 AS colours FROM clips c LEFT JOIN ext USING (clip_id) LEFT JOIN first ON key = c.clip_id""")
+@query(f"""WITH {fx.CLIPS}, {fx.CELS}, {_EXTENTS}, {fx.POSITIONS}, {_FIRST} SELECT c.clip_id, frames, fps, CASE WHEN fps > 0 THEN round(frames / CAST(fps AS DOUBLE), 2) END AS seconds, CASE WHEN px IS NULL THEN coalesce(max_w, 630) ELSE 630 END AS canvas_w, CASE WHEN px IS NULL THEN coalesce(max_h, 450) ELSE 450 END AS canvas_h, px AS x, py AS y, has_audio, palette_size // 3 AS colours FROM clips c LEFT JOIN ext USING (clip_id) LEFT JOIN first ON key = c.clip_id""")
 def agg11_clip_rollup(spark: SparkSession, d: str) -> DataFrame:
     own = fx.clips(spark, d)
     at = keyed.lookup_first(own.select("clip_id"), fx.positions(spark, d), ["clip_id"], ["ord"], ["x", "y"])
@@ -541,18 +548,17 @@ def win12_first_per_group(spark: SparkSession, d: str) -> DataFrame:
     return ordered.first_per_group(fx.cels(spark, d), ["clip_id"], ["frame_no", "fragment_no"], fc.valid_fragment(c("x"), c("y"), c("w"), c("h"))).select("clip_id", "frame_no", "x", "y")
 
 
-def _words(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.contents(spark, d).withColumn("size", F.length("content")).where("size >= 100")
-    return rows.withColumn("pos", F.explode(F.sequence(F.lit(50), c("size") - 5))).select("doc_id", "size", "pos", by.little(c("content"), c("pos"), 2).alias("v"))
-
-
 _U16 = "b AS (SELECT doc_id, encode(text) AS content, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, size, pos, CAST('0x' || hex(content[pos + 2:pos + 2]) || hex(content[pos + 1:pos + 1]) AS BIGINT) AS v FROM (SELECT *, unnest(range(50, size - 4)) AS pos FROM b WHERE size >= 100))"
 
 
 @query(f"WITH {_U16} SELECT doc_id, min(pos) FILTER (v % 1000 BETWEEN 1 AND 39 AND pos + 2 + 2 * (v % 1000) <= size) AS first_pos FROM w GROUP BY 1")
 def win13_first_satisfying(spark: SparkSession, d: str) -> DataFrame:
-    n = c("v") % 1000
-    return ordered.first_satisfying(_words(spark, d), ["doc_id"], c("pos"), (n > 0) & (n < 40) & (c("pos") + 2 + 2 * n <= c("size")))
+    size = F.length("content")
+
+    def fits(v: F.Column, pos: F.Column) -> F.Column:
+        return (v % 1000).between(1, 39) & (pos + 2 + 2 * (v % 1000) <= size)
+
+    return fx.contents(spark, d).where(size >= 100).select("doc_id", by.first_u16(c("content"), 50, size - 5, fits).alias("first_pos"))
 
 
 @query(f"""WITH {fx.EVENTS}, m AS (SELECT stream, pos, op, lead(op) OVER (PARTITION BY stream ORDER BY pos) AS nx, list(k) OVER (PARTITION BY stream ORDER BY pos ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING) AS ctx FROM ev) SELECT stream, pos, list_aggregate(ctx, 'string_agg', ',') AS context FROM m WHERE op = 'click' AND nx = 'purchase'""")
@@ -617,11 +623,11 @@ def src06_parse_position_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {fx.LINES}, p AS (SELECT ord, line, regexp_matches(line, {_NUM}) AS simple, contains(line, 'Robot ') AND contains(line, 'at (x=') AS worded FROM lines),
-r AS (SELECT CAST(CASE WHEN simple THEN regexp_extract(line, {_NUM}, 1) ELSE regexp_extract(line, 'Robot (\\d+)', 1) END AS INTEGER) % 50 AS clip_id, ord FROM p WHERE simple OR worded)
-SELECT clip_id, max(ord) AS ord FROM r GROUP BY 1""")
+r AS (SELECT CAST(CASE WHEN simple THEN regexp_extract(line, {_NUM}, 1) ELSE regexp_extract(line, 'Robot (\\d+)', 1) END AS INTEGER) % 50 AS clip_id, CAST(CASE WHEN simple THEN regexp_extract(line, {_NUM}, 2) ELSE regexp_extract(line, 'x=(-?\\d+)', 1) END AS INTEGER) AS x, CAST(CASE WHEN simple THEN regexp_extract(line, {_NUM}, 3) ELSE regexp_extract(line, 'y=(-?\\d+)', 1) END AS INTEGER) AS y, ord FROM p WHERE simple OR worded)
+SELECT clip_id, arg_max(x, ord) AS x, arg_max(y, ord) AS y, max(ord) AS ord FROM r GROUP BY 1""")
 def src06_last_position_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = files.parse_position_lines(fx.lines(spark, d)).withColumn("clip_id", c("clip_id") % 50)
-    return files.last_positions(lines).select("clip_id", "ord")
+    return files.last_positions(lines).select("clip_id", "x", "y", "ord")
 
 
 @query(f"WITH {fx.CELS}, {fx.PALETTE} SELECT k AS clip_id, i AS idx, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM (SELECT DISTINCT clip_id % 5 AS k FROM cels) CROSS JOIN range(256) t(i) LEFT JOIN palette ON palette.idx = i AND (i + k) % 3 > 0")
@@ -876,12 +882,16 @@ def src09_decode_resource_header(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {fx.CELS}, n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame_no, cel_no) - 1 AS rec, chunks % 40 AS ds FROM cels), s AS (SELECT *, 2 + coalesce(sum(22 + ds) OVER (PARTITION BY clip_id ORDER BY rec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM n)
 SELECT clip_id, rec, CAST(pos AS BIGINT) AS rec_pos, ds AS rec_size, w, h, x, y FROM s""")
 def src10_explode_chained(spark: SparkSession, d: str) -> DataFrame:
+    chain = files.explode_chained(_chained(spark, d), c("content"), F.lit(2), by.u16(c("content"), 0), size_at=14, most=1000)
+    return files.decode_cels(chain, c("content"), c("rec_pos")).select("clip_id", "rec", "rec_pos", "rec_size", "w", "h", "x", "y")
+
+
+def _chained(spark: SparkSession, d: str) -> DataFrame:
+    """clip_id and content: a count and then all of a clip's cels with their data, one behind another."""
     ds = c("chunks") % 40
     one = F.concat(F.lit("0064"), _le(c("w"), 2), _le(c("h"), 2), F.lit("00000000"), _le(c("x"), 2), _le(c("y"), 2), _le(ds, 2), _le(F.lit(1), 2), F.lit("00000000"), F.repeat(F.lit("AB"), ds.cast("int")))
     frames = fx.cels(spark, d).select("clip_id", "frame_no", "cel_no", one.alias("hex")).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "cel_no", "hex"))).alias("s"))
-    blob = frames.select("clip_id", F.unhex(F.concat(_le(F.size("s"), 2), F.concat_ws("", F.transform("s", lambda x: x["hex"])))).alias("content"))
-    chain = files.explode_chained(blob, c("content"), F.lit(2), by.u16(c("content"), 0), size_at=14, most=1000)
-    return files.decode_cels(chain, c("content"), c("rec_pos")).select("clip_id", "rec", "rec_pos", "rec_size", "w", "h", "x", "y")
+    return frames.select("clip_id", F.unhex(F.concat(_le(F.size("s"), 2), F.concat_ws("", F.transform("s", lambda x: x["hex"])))).alias("content"))
 
 
 @query(f"WITH {fx.CLIPS} SELECT clip_id, CAST(i AS INTEGER) AS cue_no, clip_id * 7 + i * 3 - 900 AS t, (clip_id * 31 + i * 257) % 65536 AS v FROM clips, range(256) r(i)")
@@ -925,11 +935,70 @@ def set04_distinct(spark: SparkSession, d: str) -> DataFrame:
     return fx.codes(spark, d).select("code").distinct()
 
 
-@query(f"""WITH {fx.CLIPS}, {fx.CELS}, {_EXTENTS} SELECT clip_id, frames, fps, CASE WHEN fps > 0 THEN round(frames / CAST(fps AS DOUBLE), 2) END AS seconds, max_w AS canvas_w, max_h AS canvas_h, CAST(NULL AS INTEGER) AS x, CAST(NULL AS INTEGER) AS y, has_audio, palette_size // 3 AS colours FROM clips LEFT JOIN ext USING (clip_id)""")
+@query(f"""WITH {fx.CLIPS}, {fx.CELS}, {_EXTENTS}, {fx.POSITIONS}, {_FIRST}, w AS (SELECT *, CASE WHEN clip_id % 3 = 0 THEN 640 + clip_id % 7 WHEN clip_id % 3 = 1 THEN 0 END AS cw, 480 AS ch FROM clips) SELECT c.clip_id, frames, fps, CASE WHEN fps > 0 THEN round(frames / CAST(fps AS DOUBLE), 2) END AS seconds,
+CASE WHEN px IS NULL THEN coalesce(max_w, 630) WHEN cw > 0 THEN cw ELSE 630 END AS canvas_w, CASE WHEN px IS NULL THEN coalesce(max_h, 450) ELSE ch END AS canvas_h, px AS x, py AS y, has_audio, palette_size // 3 AS colours FROM w c LEFT JOIN ext USING (clip_id) LEFT JOIN first ON key = c.clip_id""")
 def snk07_clip_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Metadata of clips of which none has a position."""
-    nowhere = fx.positions(spark, d).where("false").select(c("clip_id").cast("bigint").alias("clip_id"), c("x").cast("int").alias("x"), c("y").cast("int").alias("y"))
-    return reports.clip_metadata(fx.clips(spark, d), pixels.max_extents(fx.cels(spark, d), ["clip_id"]), nowhere)
+    """Metadata of clips on canvases of given sizes, some of them null or zero."""
+    own = fx.clips(spark, d)
+    at = keyed.lookup_first(own.select("clip_id"), fx.positions(spark, d), ["clip_id"], ["ord"], ["x", "y"])
+    k = c("clip_id")
+    canvas = (F.when(k % 3 == 0, 640 + k % 7).when(k % 3 == 1, 0), F.lit(480).cast("bigint"))
+    return reports.clip_metadata(own, pixels.max_extents(fx.cels(spark, d), ["clip_id"]), at, canvas)
+
+
+@query(f"WITH {fx.CELS}, {_EXTENTS}, f AS (SELECT clip_id, frame_no, arg_min(x, cel_no) AS x, arg_min(y, cel_no) AS y FROM cels GROUP BY ALL) SELECT clip_id, frame_no, x, y, CASE WHEN max_w > 0 AND max_h > 0 THEN max_w ELSE 630 END AS w, CASE WHEN max_w > 0 AND max_h > 0 THEN max_h ELSE 450 END AS h FROM f LEFT JOIN ext USING (clip_id)")
+def snk08_cel_positions_compat(spark: SparkSession, d: str) -> DataFrame:
+    return reports.cel_positions(fx.cels(spark, d), pixels.max_extents(fx.cels(spark, d), ["clip_id"]))
+
+
+@query(f"WITH {fx.CELS} SELECT clip_id, frame_no, min(x) AS min_x, min(y) AS min_y, max(x + width) AS max_x, CAST(-32767 AS BIGINT) AS max_y FROM cels GROUP BY ALL")
+def agg04_fragment_bbox_compat(spark: SparkSession, d: str) -> DataFrame:
+    return pixels.fragment_bbox(fx.cels(spark, d), ["clip_id", "frame_no"], "compat")
+
+
+@query(f"WITH {fx.CLIPS} SELECT clip_id, 3 + clip_id % 5 AS version, frames FROM clips WHERE 3 + clip_id % 5 BETWEEN 4 AND 6")
+def src08_decode_header_v4(spark: SparkSession, d: str) -> DataFrame:
+    k = c("clip_id")
+    content = F.unhex(F.concat(F.lit("1600534F4C00"), _le(3 + k % 5, 2), _le(k, 2), F.lit("00000000"), _le(c("frames"), 2), F.lit("00" * 44)))
+    return files.decode_header(fx.clips(spark, d).select("clip_id", content.alias("content")), versions=(4, 6)).select("clip_id", "version", "frames")
+
+
+# ---- runs instead of pixels, chains by pointer jumping, JSON in pieces
+
+
+@query(f"WITH {fx.PIXEL_RUNS} SELECT clip_id, y, idx, count(*) AS n, CAST(sum(x) AS BIGINT) AS total_x FROM shown GROUP BY ALL")
+def win06_overlay_runs(spark: SparkSession, d: str) -> DataFrame:
+    shown = pixels.overlay_runs(fx.pixel_runs(spark, d), ["clip_id", "y"], ["ord"])
+    middle = (c("count") * (2 * c("start") + c("count") - 1) / 2).cast("bigint")
+    return shown.groupBy("clip_id", "y", "idx").agg(F.sum("count").alias("n"), F.sum(middle).alias("total_x"))
+
+
+@query(f"WITH {fx.PIXEL_RUNS} SELECT clip_id, min(x) FILTER (idx <> 255) AS min_x, min(y) FILTER (idx <> 255) AS min_y, max(x) FILTER (idx <> 255) AS max_x, max(y) FILTER (idx <> 255) AS max_y, max(x) FILTER (idx <> 255) - min(x) FILTER (idx <> 255) + 1 AS w, max(y) FILTER (idx <> 255) - min(y) FILTER (idx <> 255) + 1 AS h FROM shown GROUP BY 1")
+def agg02_runs_bbox(spark: SparkSession, d: str) -> DataFrame:
+    return pixels.runs_bbox(pixels.overlay_runs(fx.pixel_runs(spark, d), ["clip_id", "y"], ["ord"]), ["clip_id"])
+
+
+@query(f"WITH {fx.PIXEL_RUNS}, {fx.PALETTE}, l AS (SELECT clip_id, s.idx, r, g, b FROM shown s JOIN palette USING (idx)) SELECT clip_id, " + ", ".join(f"CAST(sum(CASE WHEN idx < 236 THEN {x} ELSE 0 END) AS BIGINT) AS base_{x}, CAST(sum(CASE WHEN idx BETWEEN 236 AND 254 THEN {x} ELSE 0 END) AS BIGINT) AS remap_{x}" for x in "rgb") + ", CAST(sum(CASE WHEN idx = 255 THEN 0 ELSE 255 END) AS BIGINT) AS alpha FROM l GROUP BY 1")
+def prj02_split_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of the layers, from runs: a run's pixels have the same layers."""
+    shown = pixels.overlay_runs(fx.pixel_runs(spark, d), ["clip_id", "y"], ["ord"])
+    layers = pixels.split_layers(pixels.apply_palette(shown, fx.palette(spark)))
+    return layers.groupBy("clip_id").agg(*[F.sum(c(n) * c("count")).alias(n) for n in [*[f"{k}_{x}" for k in ("base", "remap") for x in "rgb"], "alpha"]])
+
+
+@query(f"""WITH {fx.CELS}, n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame_no, cel_no) - 1 AS rec, chunks % 40 AS ds FROM cels) SELECT clip_id, rec, CAST(2 + coalesce(sum(22 + ds) OVER (PARTITION BY clip_id ORDER BY rec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM n""")
+def src10_follow_chain(spark: SparkSession, d: str) -> DataFrame:
+    blob = _chained(spark, d)
+    links = files.chain_candidates(blob, ["clip_id"], c("content"), lambda p: F.hex(by.part(c("content"), p, 2)) == "0064", 2, size_at=14)
+    return files.follow_chain(links, blob.select("clip_id", F.lit(2).alias("pos")), ["clip_id"]).select("clip_id", "rec", "pos")
+
+
+@query(f"""WITH {fx.CELS}, f AS (SELECT clip_id, frame_no, '{{{{"frame":' || frame_no || ',"fragments":[' || string_agg('{{{{"x":' || x || ',"y":' || y || ',"width":' || width || '}}}}', ',' ORDER BY fragment_no) || ']}}}}' AS s FROM cels GROUP BY clip_id, frame_no), j AS (SELECT '{{{{"robot":' || clip_id || ',"frames":[' || string_agg(s, ',' ORDER BY frame_no) || ']}}}}' AS json, clip_id FROM f GROUP BY clip_id) SELECT clip_id, CAST(length(json) AS BIGINT) AS n, md5(json) AS md5 FROM j""".replace("{{{{", "{").replace("}}}}", "}"))
+def snk04_json_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON in pieces, put together again."""
+    pieces = reports.clip_json_pieces(fx.cels(spark, d))
+    whole = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "fragment_no", "piece"))), lambda p: p["piece"]))
+    return pieces.groupBy("clip_id").agg(whole.alias("json")).select("clip_id", F.length("json").cast("bigint").alias("n"), F.md5("json").alias("md5"))
 
 
 @query(f"WITH {fx.CELS} SELECT clip_id, frame_no, cel_no, CAST(trunc(x * w / 128.0) AS BIGINT) AS scaled FROM cels")

@@ -19,6 +19,16 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 PIXELS = "pixels AS (SELECT label AS clip_id, vec_id AS frame_no, p % 8 AS x, p // 8 AS y, CAST(((CAST(floor(v * 1024) AS BIGINT) % 256) + 256) % 256 AS INTEGER) AS idx FROM (SELECT label, vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings))"
 
 
+def pixel_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of pixels written one over another: clip_id, y, ord, start, count, idx."""
+    c = F.col
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("clip_id"), (c("l_suppkey") % 2).alias("y"), F.row_number().over(w).alias("ord"), (c("l_partkey") % 60).alias("start"), (c("l_quantity") + 7).cast("bigint").alias("count"), (c("l_suppkey") % 8 * 32 + 31).alias("idx"))
+
+
+PIXEL_RUNS = "runs AS (SELECT l_orderkey AS clip_id, l_suppkey % 2 AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ord, l_partkey % 60 AS start, CAST(floor(l_quantity + 7) AS BIGINT) AS count, l_suppkey % 8 * 32 + 31 AS idx FROM lineitem), shown AS (SELECT clip_id, y, x, arg_max(idx, ord) AS idx FROM (SELECT *, start + unnest(range(count)) AS x FROM runs) GROUP BY ALL)"
+
+
 def palette(spark: SparkSession, _: str = "") -> DataFrame:
     i = F.col("idx")
     return spark.range(256).select(F.col("id").cast("int").alias("idx")).select("idx", (7 * i % 256).alias("r"), ((13 * i + 5) % 256).alias("g"), ((29 * i + 11) % 256).alias("b"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import hex_lower
+from ..functions.clips import canvas_size
 from ..operators.ordered import first_per_group
 
 
@@ -55,14 +56,44 @@ def write_by_clip(df: DataFrame, path: str) -> None:
     df.write.partitionBy("clip_id").parquet(path)
 
 
-def clip_metadata(clips: DataFrame, extents: DataFrame, positions: DataFrame) -> DataFrame:
-    """A row per clip from its header (clip_id, frames, fps, palette_size, has_audio), its extents (clip_id, max_w, max_h) and its position (clip_id, x, y): each has one row a clip."""
-    on = clips.join(extents, "clip_id", "left").join(positions.select("clip_id", "x", "y"), "clip_id", "left")
+def clip_metadata(clips: DataFrame, extents: DataFrame, positions: DataFrame, canvas: tuple[Column | int, Column | int] | None = None) -> DataFrame:
+    """A row per clip from its header (clip_id, frames, fps, palette_size, has_audio), its extents (clip_id, max_w, max_h) and its position (clip_id, x, y): each has one row a clip. canvas overrides the size of the canvas of clips with a position; it may be columns of clips."""
+    given = [] if canvas is None else [(v if isinstance(v, Column) else F.lit(v)).alias(n) for v, n in zip(canvas, ("_cw", "_ch"), strict=True)]
+    on = clips.select("clip_id", "frames", "fps", "palette_size", "has_audio", *given).join(extents, "clip_id", "left").join(positions.select("clip_id", "x", "y"), "clip_id", "left")
     seconds = F.when(F.col("fps") > 0, F.round(F.col("frames") / F.greatest(F.col("fps"), F.lit(1)), 2))
-    canvas = F.col("x").isNotNull()
-    return on.select("clip_id", "frames", "fps", seconds.alias("seconds"), F.when(canvas, 630).otherwise(F.col("max_w")).alias("canvas_w"), F.when(canvas, 450).otherwise(F.col("max_h")).alias("canvas_h"), "x", "y", "has_audio", F.floor(F.col("palette_size") / 3).alias("colours"))
-
-
-def cel_positions(cels: DataFrame) -> DataFrame:
-    """clip_id, frame_no, x, y, w, h of each frame's first cel."""
-    return cels.groupBy("clip_id", "frame_no").agg(F.min_by(F.struct("x", "y", "w", "h"), "cel_no").alias("_c")).select("clip_id", "frame_no", "_c.*")
+    w, h = canvas_size(F.col("x").isNotNull(), F.col("max_w"), F.col("max_h"), (F.col("_cw"), F.col("_ch")) if given else None)
+    return on.select("clip_id", "frames", "fps", seconds.alias("seconds"), w.alias("canvas_w"), h.alias("canvas_h"), "x", "y", "has_audio", F.floor(F.col("palette_size") / 3).alias("colours"))
+
+
+def cel_positions(cels: DataFrame, extents: DataFrame | None = None) -> DataFrame:
+    """clip_id, frame_no, x, y, w, h of each frame's first cel. With extents (clip_id, max_w, max_h), as in mode compat, w and h are the clip's, or the usual canvas where it has none."""
+    first = cels.groupBy("clip_id", "frame_no").agg(F.min_by(F.struct("x", "y", "w", "h"), "cel_no").alias("_c")).select("clip_id", "frame_no", "_c.*")
+    if extents is None:
+        return first
+    usable = lambda c: F.when((F.col("max_w") > 0) & (F.col("max_h") > 0), F.col(c))
+    w, h = canvas_size(F.lit(False), usable("max_w"), usable("max_h"))
+    return first.drop("w", "h").join(extents, "clip_id", "left").select("clip_id", "frame_no", "x", "y", w.alias("w"), h.alias("h"))
+
+
+def clip_json_pieces(fragments: DataFrame) -> DataFrame:
+    """clip_id, frame_no, fragment_no, piece: the JSON of clips_json() cut behind each fragment. In order of the first three the pieces give it whole. Only a frame's fragments meet in a window; where a clip begins and ends comes from an aggregate."""
+    w = Window.partitionBy("clip_id", "frame_no").orderBy("fragment_no", "x", "y", "width")
+    ends = fragments.groupBy(F.col("clip_id").alias("_clip")).agg(F.min("frame_no").alias("_first"), F.max("frame_no").alias("_last"))
+    flagged = fragments.select("clip_id", "frame_no", "fragment_no", "x", "y", "width", (F.row_number().over(w) == 1).alias("_opens"), F.lead(F.lit(1)).over(w).isNull().alias("_closes"))
+    rows = flagged.join(ends, flagged["clip_id"].eqNullSafe(ends["_clip"]))
+    opens, closes, text = F.col("_opens"), F.col("_closes"), lambda x: F.lit(x)
+    clip_json, frame_json = F.to_json(F.struct(F.col("clip_id").alias("robot"))), F.to_json(F.struct(F.col("frame_no").alias("frame")))
+    head = lambda j, name: F.concat(F.substring(j, F.lit(1), F.length(j) - 1), text(f',"{name}":['))
+    piece = F.concat(
+        F.when(opens & (F.col("frame_no") == F.col("_first")), head(clip_json, "frames")).otherwise(""), F.when(opens, head(frame_json, "fragments")).otherwise(""),
+        F.to_json(F.struct("x", "y", "width")),
+        F.when(~closes, text(",")).when(F.col("frame_no") < F.col("_last"), text("]},")).otherwise(text("]}]}")),
+    )
+    return rows.select("clip_id", "frame_no", "fragment_no", "x", "y", "width", piece.alias("piece"))
+
+
+def write_clips_json(fragments: DataFrame, path: str, parts: int | None = None) -> None:
+    """Writes clips_json() as text: files in order of name, a line behind each fragment, a JSON document a clip. A clip of any size is written in order by as many tasks as its fragments fill, none of which holds it."""
+    order = ["clip_id", "frame_no", "fragment_no", "x", "y", "width"]
+    pieces = clip_json_pieces(fragments)
+    (pieces.repartitionByRange(parts, *order) if parts else pieces.repartitionByRange(*order)).sortWithinPartitions(*order).select("piece").write.text(path)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.bytes import big, little, part, s16, s32, u8, u16, u24, u32
 from ..functions.codes import remap_code
 from ..functions.text import file_name, key_from_path
+from ..operators.durable import durable
 
 
 def list_media(spark: SparkSession, folder: str, ext: str = "rbt") -> DataFrame:
@@ -84,8 +90,8 @@ def explode_fixed_records(maps: DataFrame, sections: DataFrame, width: DataFrame
     return rows.select(remap_code(F.col("type")).alias("type"), u16(c, at).alias("number"), offset.alias("offset"), "volume", F.col("type").alias("rec"), F.col("i").alias("rec2"))
 
 
-def decode_header(clips: DataFrame) -> DataFrame:
-    """clips with the fields of their 60-byte header; files with another magic, tag or version are left out."""
+def decode_header(clips: DataFrame, versions: tuple[int, int] = (5, 6)) -> DataFrame:
+    """clips with the fields of their 60-byte header; files with another magic, tag or version (5 or 6; 4 too with versions (4, 6)) are left out."""
     c = F.col("content")
     ok = (u16(c, 0) == 0x16) & (F.hex(part(c, 2, 4)) == "534F4C00")
     be = big(c, 6, 2).between(1, 255)
@@ -96,16 +102,58 @@ def decode_header(clips: DataFrame) -> DataFrame:
         "x_res": s16(c, 20, e), "y_res": s16(c, 22, e), "has_palette": u8(c, 24) != 0, "has_audio": u8(c, 25) != 0, "fps": s16(c, 28, e), "hi_res": s16(c, 30, e), "max_skippable": s16(c, 32, e), "max_cels": s16(c, 34, e),
         **{f"area_{i}": s32(c, 36 + 4 * i, e) for i in range(4)},
     }
-    return named.withColumns(fields).where(F.col("version").between(5, 6))
+    return named.withColumns(fields).where(F.col("version").between(*versions))
+
+
+def read_ranges(wanted: DataFrame, parts: int | None = None) -> DataFrame:
+    """wanted (path, offset, length and more) with content, the bytes there: null where the range does not lie in the file.
+
+    A volume is never a value: tasks open it where they need it, seek and read. Ranges are dealt by place, so that a large
+    volume's are read by many tasks, each front to back.
+    """
+    dealt = wanted.repartitionByRange(parts, "path", "offset") if parts else wanted.repartitionByRange("path", "offset")
+    names = wanted.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = source = None
+        for batch in batches:
+            found: list[bytes | None] = []
+            at, held = 0, 0
+            for i, (path, offset, length) in enumerate(zip(*[batch.column(names.index(n)).to_pylist() for n in ("path", "offset", "length")], strict=True)):
+                if path != now:
+                    uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+                    system, inner = FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+                    now, source = path, system.open_input_file(inner)
+                ok = offset is not None and length is not None and offset >= 0 and 0 <= length <= source.size() - offset
+                found.append(source.read_at(length, offset) if ok else None)
+                held += length if ok else 0
+                # batches of about 64 MB, however long the ranges are
+                if held >= 64 << 20:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, i + 1 - at).columns, pa.array(found, pa.binary())], names=[*names, "content"])
+                    at, held, found = i + 1, 0, []
+            if found:
+                yield pa.RecordBatch.from_arrays([*batch.slice(at).columns, pa.array(found, pa.binary())], names=[*names, "content"])
+
+    return dealt.sortWithinPartitions("path", "offset").mapInArrow(work, StructType([*wanted.schema.fields, StructField("content", BinaryType())]))
+
+
+def read_resources(index: DataFrame, volumes: DataFrame, parts: int | None = None) -> DataFrame:
+    """index (type, number, offset, volume) with the header fields, reason and content (the packed payload, null with a reason) of the resources, read from volumes (volume, path, length) by ranges: 13 bytes each for the headers, then the payloads."""
+    on = index.join(volumes.select("volume", "path", F.col("length").alias("volume_size")), "volume")
+    heads = read_ranges(on.withColumn("length", F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(13).cast("bigint"), F.col("volume_size") - F.col("offset")))), parts)
+    known = decode_resource_header(heads.drop("length").withColumn("start", F.col("offset"))).drop("content", "start")
+    payload = known.withColumnRenamed("offset", "_at").withColumns({"offset": F.col("_at") + F.col("header_size"), "length": F.when(F.col("reason").isNull(), F.col("packed_size"))})
+    return read_ranges(payload, parts).drop("offset", "length", "path").withColumnRenamed("_at", "offset")
 
 
 def decode_resource_header(rows: DataFrame) -> DataFrame:
-    """rows (content, offset, volume_size) with header_size, method, packed_size, size, dialect and reason (null if the payload fits)."""
-    c, at, total = F.col("content"), F.col("offset"), F.col("volume_size")
+    """rows (content, offset, volume_size) with header_size, method, packed_size, size, dialect and reason (null if the payload fits). content is the volume, or with a column start a piece of it from there."""
+    c, total = F.col("content"), F.col("volume_size")
+    at = F.col("offset") - F.col("start") if "start" in rows.columns else F.col("offset")
     packed, size, method = u32(c, at + 3), u32(c, at + 7), u16(c, at + 11)
     plausible = (packed > 0) & (packed < total) & (size > 0) & (size < total * 10) & (method < 256)
     long = (total > 50_000_000) | plausible
-    flagged = (u8(c, at).bitwiseAND(F.lit(128)) != 0) & (at + 10 <= total)
+    flagged = (u8(c, at).bitwiseAND(F.lit(128)) != 0) & (F.col("offset") + 10 <= total)
     dialect = F.when(long, "13").when(flagged, "10").otherwise("6")
     out = rows.withColumn("dialect", dialect)
     d = F.col("dialect")
@@ -113,8 +161,8 @@ def decode_resource_header(rows: DataFrame) -> DataFrame:
         "header_size": d.cast("int"), "method": F.when(d == "13", method).when(d == "10", u8(c, at + 6)).otherwise(F.lit(0)),
         "packed_size": F.when(d == "13", packed).otherwise(u24(c, at + 3)), "size": F.when(d == "13", size).when(d == "10", u24(c, at + 7)).otherwise(u24(c, at + 3)),
     })
-    start, n = at + F.col("header_size"), F.col("packed_size")
-    reason = F.when(at + 13 > total, "short header").when(start >= total, "offset past end").when(n == 0, "empty").when(n > total, "size over volume").when(start + n > total, "payload past end")
+    start, n = F.col("offset") + F.col("header_size"), F.col("packed_size")
+    reason = F.when(F.col("offset") + 13 > total, "short header").when(start >= total, "offset past end").when(n == 0, "empty").when(n > total, "size over volume").when(start + n > total, "payload past end")
     return out.withColumn("reason", reason)
 
 
@@ -129,6 +177,39 @@ def explode_chained(rows: DataFrame, content: Column, first: Column, count: Colu
     return rows.where(count > 0).select("*", F.posexplode(chain).alias("rec", "_r")).select(*rows.columns, "rec", "_r.rec_pos", "_r.rec_size")
 
 
+def chain_candidates(rows: DataFrame, by: list[str], content: Column, plausible: Callable[[Column], Column], first: int = 0, header: int = 22, size_at: int = 16, big_endian: Column | bool = False) -> DataFrame:
+    """by, pos, to: each place where a header may begin (plausible, a condition on the place), and where the next one would. A header that would cross the end is no candidate."""
+    length = F.length(content)
+    places = F.when(length >= first + header, F.sequence(F.lit(first), length - header))
+    hits = rows.select(*by, content.alias("_c"), F.explode(F.filter(places, plausible)).alias("pos"))
+    size = u16(F.col("_c"), F.col("pos") + size_at, big_endian)
+    return hits.select(*by, F.col("pos").cast("bigint").alias("pos"), (F.col("pos") + header + size).cast("bigint").alias("to"))
+
+
+def follow_chain(links: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+    """by, pos, rec: the places that a chain goes through from its start (by, pos), numbered from 0, by pointer jumping.
+
+    links (by, pos, to) leads from every candidate to its successor. In each round places that are reached send the
+    chain as far again as it has come, and links are joined with themselves to lead twice as far: n records take about
+    log2(n) rounds, whichever task their bytes lie in. A chain ends at a place that is no candidate. Links must lead forward.
+    """
+    places = links.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("pos").alias("_pos"))
+
+    def at(left: DataFrame, place: str, right: DataFrame) -> list[Column]:
+        return [*[left[k].eqNullSafe(right[f"_{k}"]) for k in by], left[place] == right["_pos"]]
+
+    first = starts.select(*by, F.col("pos").cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("rec"))
+    reached = durable(first.join(places, at(first, "pos", places), "left_semi"))
+    inner = links.select(*by, "pos", "to")
+    jump, far = durable(inner.join(places, at(inner, "to", places), "left_semi")), 1
+    while not jump.isEmpty():
+        step = jump.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("pos").alias("_pos"), F.col("to").alias("_to"))
+        further = reached.join(step, at(reached, "pos", step)).select(*by, F.col("_to").alias("pos"), (F.col("rec") + far).alias("rec"))
+        jump = durable(jump.join(step, at(jump, "to", step)).select(*by, "pos", F.col("_to").alias("to")))
+        reached, far = durable(reached.unionByName(further)), 2 * far
+    return reached
+
+
 def decode_cels(rows: DataFrame, content: Column, pos: Column, big_endian: Column | bool = False) -> DataFrame:
     """The fields of a cel's header at pos: vscale, w, h, x, y, data_size, chunks."""
     return rows.withColumns({
