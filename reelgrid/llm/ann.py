@@ -12,7 +12,9 @@ sent once to each shard that holds a cell it visits; what comes back is its best
 A vector that occurs many times is indexed in at most k + 1 rows, those of the smallest ids: with ties going to smaller ids,
 no other row of it can be among the k nearest of any query, so this loses nothing. Vectors that are null, zero, of another
 length than most, or that hold null or non-finite components take no part. Rows that share an id are entries of their own,
-but no query finds its own id. Extra columns are ignored. Empty tables give no rows.
+but no query finds its own id. Queries that are equal in id and vector are one; different vectors under one id are queries of
+their own, each with its ranks from 1, told apart by query_key, a hash of the vector. Extra columns are ignored. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -100,7 +102,7 @@ def fit_share(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int,
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall_target: float = 0.94, sample: int = 20_000, centres: int | None = None, most_centres: int = 512, shard_entries: int = 4096) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score (Euclidean distance): the k nearest found of each row of queries.
+    """query_id, rank (from 1), vec_id, score (Euclidean distance), query_key: the k nearest found of each query.
 
     sample bounds the rows that the codebooks and the visited share are fitted on. A half's codebook has centres entries;
     by default their number grows with the rows, but slower than their root, so that cells take more rows as tables grow and
@@ -119,7 +121,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall_target: f
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     index = saved(entries.withColumn("_n", first).where(F.col("_n") <= k + 1).drop("_n"), "distinct")
     total = index.count()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, query_key long"
     if total == 0:
         return spark.createDataFrame([], schema)
     some = index.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
@@ -149,23 +151,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall_target: f
         for b in batches:
             to = shard(b.column(2).to_numpy(), b.column(3).to_numpy())
             n = len(to)
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.zeros(n, np.int8)), b.column(0), b.column(1), pa.array(b.column(2).to_numpy()[:, None].tolist(), pa.list_(pa.int64()))], names=["shard", "kind", "id", "v", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.zeros(n, np.int8)), b.column(0), b.column(1), pa.array(b.column(2).to_numpy()[:, None].tolist(), pa.list_(pa.int64())), pa.nulls(n, pa.int64())], names=["shard", "kind", "id", "v", "cells", "key"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for i, v, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _matrix(b.column(1), dim), strict=True):
+            for i, v, q, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _matrix(b.column(1), dim), b.column(2).to_pylist(), strict=True):
                 sent: dict[int, list[int]] = {}
                 for c in traverse(q, books, counts, need):
                     for s in range(before[c] // shard_entries, (before[c] + counts[c] - 1) // shard_entries + 1):
                         sent.setdefault(int(s), []).append(c)
-                out += [(s, 1, i, v, cs) for s, cs in sent.items()]
+                out += [(s, 1, i, v, cs, key) for s, cs in sent.items()]
             for a in range(0, len(out), 1024):
-                s, kind, i, v, cs = zip(*out[a : a + 1024], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(kind, pa.int8()), pa.array(i, pa.int64()), pa.array(v, pa.list_(pa.float64())), pa.array(cs, pa.list_(pa.int64()))], names=["shard", "kind", "id", "v", "cells"])
+                s, kind, i, v, cs, key = zip(*out[a : a + 1024], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(kind, pa.int8()), pa.array(i, pa.int64()), pa.array(v, pa.list_(pa.float64())), pa.array(cs, pa.list_(pa.int64())), pa.array(key, pa.int64())], names=["shard", "kind", "id", "v", "cells", "key"])
 
-    sent = "shard long, kind byte, id long, v array<double>, cells array<long>"
-    asked = valid(queries).where(F.size("v") == dim)
+    sent = "shard long, kind byte, id long, v array<double>, cells array<long>, key long"
+    asked = valid(queries).where(F.size("v") == dim).dropDuplicates(["id", "v"]).select("id", "v", F.xxhash64("v").alias("key"))
     both = celled.select("id", "v", "cell", F.shiftrightunsigned(F.xxhash64("id"), 1).alias("part")).mapInArrow(place, sent).unionByName(asked.mapInArrow(ask, sent))
     dealt = both.repartition("shard").sortWithinPartitions("shard", "kind")
 
@@ -187,8 +189,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall_target: f
                     ids, x, own, held = ids[order], x[order], own[order], []
                 if x is None:
                     continue
-                q_ids, ranks, found, scores = [], [], [], []
-                for i, q, cells in zip(part.column(2).to_pylist(), _matrix(part.column(3), dim), part.column(4).to_pylist(), strict=True):
+                q_ids, keys, found, scores = [], [], [], []
+                for i, q, cells, key in zip(part.column(2).to_pylist(), _matrix(part.column(3), dim), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
                     lo, hi = np.searchsorted(own, cells, "left"), np.searchsorted(own, cells, "right")
                     rows = np.concatenate([np.arange(a, z) for a, z in zip(lo.tolist(), hi.tolist(), strict=True)])
                     rows = rows[ids[rows] != i]
@@ -198,13 +200,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall_target: f
                         rows, d = rows[near], d[near]
                     best = np.lexsort((ids[rows], d))[:k]
                     q_ids += [i] * len(best)
+                    keys += [key] * len(best)
                     found += ids[rows][best].tolist()
                     scores += d[best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64()), pa.array(keys, pa.int64())], names=["query_id", "vec_id", "score", "query_key"])
 
-    near = dealt.mapInArrow(answer, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = dealt.mapInArrow(answer, "query_id long, vec_id long, score double, query_key long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy("score", "vec_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_key")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:

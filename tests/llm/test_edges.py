@@ -194,6 +194,29 @@ def test_neighbours(spark):
     assert [(r["query_id"], r["vec_id"]) for r in ann.search(two, two).orderBy("query_id").collect()] == [(0, 1), (1, 0)]
 
 
+def test_repeated_and_clashing_queries(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8)).tolist()
+    rows = [(i, x[i]) for i in range(300)] + [(100, x[100])] + [(50, x[50])] * 39 + [(200, x[7])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    # one centre a half: all entries are visited, so answers are exact
+    out = ann.search(df, df.where("vec_id % 50 = 0"), centres=1, shard_entries=64).collect()
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    answers = {}
+    for r in out:
+        answers.setdefault((r["query_id"], r["query_key"]), []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(q for q, _ in answers) == [0, 50, 100, 150, 200, 200, 250]
+    brute = []
+    for q, v in {(q, tuple(v)) for q, v in rows if q % 50 == 0}:
+        d = np.sqrt(((m - np.array(v)) ** 2).sum(axis=1))
+        keep = [k for k in np.lexsort((ids, d)) if ids[k] != q][:10]
+        brute.append((q, [(n + 1, int(ids[k]), d[k]) for n, k in enumerate(keep)]))
+    assert sorted((q, sorted(a)) for (q, _), a in answers.items()) == sorted(brute)
+    # where candidates are not repeated, neighbours are ten different ones
+    few = ann.search(df.dropDuplicates(["vec_id"]), df.where("vec_id in (50, 100)"), centres=1).collect()
+    assert len(few) == 20 and all(len({r["vec_id"] for r in few if r["query_id"] == q}) == 10 for q in (50, 100))
+
+
 def test_classifier(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(13)] + [(3, None), (None, 1), (500, 1)], "doc_id long, quality int")
     out = rule_ensemble.scored(docs, labels, trees=3).collect()
