@@ -993,7 +993,7 @@ def src10_follow_chain(spark: SparkSession, d: str) -> DataFrame:
     return files.follow_chain(links, blob.select("clip_id", F.lit(2).alias("pos")), ["clip_id"]).select("clip_id", "rec", "pos")
 
 
-@query(f"""WITH {fx.CELS}, f AS (SELECT clip_id, frame_no, '{{{{"frame":' || frame_no || ',"fragments":[' || string_agg('{{{{"x":' || x || ',"y":' || y || ',"width":' || width || '}}}}', ',' ORDER BY fragment_no) || ']}}}}' AS s FROM cels GROUP BY clip_id, frame_no), j AS (SELECT '{{{{"robot":' || clip_id || ',"frames":[' || string_agg(s, ',' ORDER BY frame_no) || ']}}}}' AS json, clip_id FROM f GROUP BY clip_id) SELECT clip_id, CAST(length(json) AS BIGINT) AS n, md5(json) AS md5 FROM j""".replace("{{{{", "{").replace("}}}}", "}"))
+@query(f"""WITH {fx.CELS}, f AS (SELECT clip_id, frame_no, '{{"frame":' || frame_no || ',"fragments":[' || string_agg('{{"x":' || x || ',"y":' || y || ',"width":' || width || '}}', ',' ORDER BY fragment_no) || ']}}' AS s FROM cels GROUP BY clip_id, frame_no), j AS (SELECT '{{"robot":' || clip_id || ',"frames":[' || string_agg(s, ',' ORDER BY frame_no) || ']}}' AS json, clip_id FROM f GROUP BY clip_id) SELECT clip_id, CAST(length(json) AS BIGINT) AS n, md5(json) AS md5 FROM j""")
 def snk04_json_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The JSON in pieces, put together again."""
     pieces = reports.clip_json_pieces(fx.cels(spark, d))
