@@ -124,12 +124,16 @@ def lookup(big: DataFrame, table: DataFrame, keys: list[str], limit: int = 200_0
 
 def runs_of(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of together about most characters; a longer text has a range to itself."""
+    return runs_by([len(t) if t else 0 for t in texts], most)
+
+
+def runs_by(sizes: list[int], most: int = 64_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring rows of together about most bytes; a larger row has a range to itself."""
     at, n = 0, 0
-    for i, t in enumerate(texts):
-        size = len(t) if t else 0
+    for i, size in enumerate(sizes):
         if i > at and n + size > most:
             yield at, i
             at, n = i, 0
         n += size
-    if at < len(texts):
-        yield at, len(texts)
+    if at < len(sizes):
+        yield at, len(sizes)

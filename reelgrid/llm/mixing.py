@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, lookup, ready, saved, text_hash
+from .common import WORD, lookup, ready, runs_by, saved, text_hash
 
 #: 2**32 / (golden ratio squared), rounded: multiples of it modulo 2**32 are the golden-ratio points.
 STEP, ONE = 1640531527, 1 << 32
@@ -149,7 +149,7 @@ def _same(names: list[str]) -> Column:
     return on
 
 
-def mixed_documents(docs: DataFrame, block: int | None = None, part_words: int = 4_000_000, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, block: int | None = None, part_words: int = 4_000_000, unpacked: int = 64_000_000, **options) -> DataFrame:
     """The mix as documents, in the order of its slots: a row of docs for each time that the mix takes from it, at the first
     slot that does, its text cut to the words taken (a text taken whole is unchanged). n_chars, if there, is counted anew.
     Partitions are ranges of slots of about part_words words; written and read in order, they are the mix."""
@@ -190,9 +190,11 @@ def mixed_documents(docs: DataFrame, block: int | None = None, part_words: int =
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = pa.Codec("zstd")
         for batch in batches:
-            data = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            texts = [zstd.decompress(x, decompressed_size=n, asbytes=True).decode("utf-8", "surrogatepass") if n else "" for x, n in data]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_doc", "_text"])
+            packed, sizes_ = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            # what comes out is bounded by its own bytes, not by those of the compressed texts
+            for a, b in runs_by(sizes_, unpacked):
+                texts = [zstd.decompress(x, decompressed_size=n, asbytes=True).decode("utf-8", "surrogatepass") if n else "" for x, n in zip(packed[a:b], sizes_[a:b], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(texts, pa.string())], names=["_doc", "_text"])
 
     zero = F.lit(0).cast("long")
     packed = joined.select("_doc", F.lit(b"").alias("_packed"), zero.alias("_size"), zero.alias("_slot"), zero.alias("_place")).schema
