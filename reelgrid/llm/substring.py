@@ -13,7 +13,8 @@ Words are compared by 64-bit hashes of spans or windows along with 32 bits of th
 sends a batch's first occurrence of a span or window only and knows the rest of them as repeats, so a passage that a third
 of the documents share is sent once a batch. Nothing is paired within a group and no group is held: tasks read sorted rows.
 
-A text of 2**26 words or more raises an error. Null texts have no words. Rows that share a doc_id count as one document: neither's windows precede the other's at the same
+Texts of 2**26 words and more are looked through in stretches that overlap by a window; starts have 30 bits, so a text may
+have up to 2**30 words. Null texts have no words. Rows that share a doc_id count as one document: neither's windows precede the other's at the same
 place. Null doc_ids come before all others, as one document. Extra columns stay. An empty table gives no rows.
 """
 
@@ -63,25 +64,30 @@ class Words:
         return _mixed(h + np.uint64(_ODD) * np.asarray(size, np.uint64))
 
 
-def spans(w: Words, length: int = LENGTH, k: int = ANCHOR) -> dict[str, np.ndarray]:
+def _anchors(grams: np.ndarray, reach: int, bits: int) -> np.ndarray:
+    """The place of the least (hash, place) of each reach neighbouring k-grams, by doubling: the hash's upper bits and the place in one number, whose place has so many bits; longer texts go in stretches."""
+    step, n, mask, out = (1 << bits) - reach, len(grams) - reach + 1, np.uint64((1 << bits) - 1), []
+    for a in range(0, n, step):
+        own = grams[a : a + step + reach - 1]
+        low = (own & ~mask) | np.arange(len(own), dtype=np.uint64)
+        size = 1
+        while size * 2 <= reach:
+            low = np.minimum(low[: len(low) - size], low[size:])
+            size *= 2
+        if size < reach:
+            low = np.minimum(low[: len(low) - (reach - size)], low[reach - size :])
+        out.append((low & mask).astype(np.int64) + a)
+    return np.concatenate(out)
+
+
+def spans(w: Words, length: int = LENGTH, k: int = ANCHOR, bits: int = 26) -> dict[str, np.ndarray]:
     """Of each span: doc (its text's number), start (its first window's place in the text), count (windows), anchor, span (hashes)."""
     n = w.n - length + 1
-    if w.n >= 1 << 26:
-        raise ValueError("a text of 67,108,864 words or more: cut it into documents first")
     none = np.zeros(0, np.int64)
     if n <= 0:
         return {"doc": none, "start": none, "count": none, "anchor": none, "span": none}
     grams = w.runs(np.arange(w.n - k + 1), k)
-    reach = length - k + 1  # k-grams in a window
-    # least (hash, place) of reach neighbours, by doubling: the hash's upper bits and the place in one number
-    low = (grams & ~np.uint64((1 << 26) - 1)) | (np.arange(len(grams), dtype=np.uint64) & np.uint64((1 << 26) - 1))
-    size = 1
-    while size * 2 <= reach:
-        low = np.minimum(low[: len(low) - size], low[size:])
-        size *= 2
-    if size < reach:
-        low = np.minimum(low[: len(low) - (reach - size)], low[reach - size :])
-    at = (low & np.uint64((1 << 26) - 1)).astype(np.int64)
+    at = _anchors(grams, length - k + 1, bits)
     doc = np.repeat(np.arange(len(w.sizes)), w.sizes)
     inside = doc[:n] == doc[length - 1 :]
     new = np.r_[True, (at[1:] != at[:-1]) | (doc[1:n] != doc[: n - 1])] & inside

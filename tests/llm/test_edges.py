@@ -490,3 +490,19 @@ def test_html_differencing_over_parts(spark):
             assert got[i]["n_shared"] == shared[0] == len(ls) - sum(x in got[i]["text"] for x in ls), i
         else:
             assert got[i]["n_shared"] <= min(shared), i
+
+
+def test_long_texts_go_in_stretches():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("ab cd ef gh".split()) for _ in range(n)) for n in (0, 19, 20, 700, 33, 2000)] + ["same " * 400]
+    w = substring.Words(texts)
+    want = substring.spans(w)
+    for bits in (5, 6, 9):
+        got = substring.spans(w, bits=bits)
+        assert all((got[k] == want[k]).all() for k in want)
+
+
+def test_small_mix_batches(spark, docs):
+    some = docs.where("text is not null and doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(mixing.mixed_documents(some, block=7, unpacked=200)) == key(mixing.mixed_documents(some, block=7))
