@@ -21,14 +21,14 @@ def full_palette(entries: DataFrame, keys: list[str] | None = None) -> DataFrame
 def merge_palette(to: DataFrame, source: DataFrame) -> DataFrame:
     """Colours of source marked used replace those of to."""
     new = source.select("idx", F.col("used").alias("_u"), *[F.col(c).alias(f"_{c}") for c in RGB])
-    on = to.join(F.broadcast(new), "idx", "left")  # a palette has at most 256 rows
+    on = to.join(new, "idx", "left")
     return on.select("idx", *[F.when(F.coalesce("_u", F.lit(False)), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in RGB])
 
 
 def vary(start: DataFrame, target: DataFrame, percent: int, first: int = 0, last: int = 255) -> DataFrame:
     """start moved percent of the way to target within a range of indices."""
     other = target.select("idx", *[F.col(c).alias(f"_{c}") for c in RGB])
-    on = start.join(F.broadcast(other), "idx")  # a palette has at most 256 rows
+    on = start.join(other, "idx")
     moved = lambda c: F.when(F.col("idx").between(first, last), F.col(c) + truncated((F.col(f"_{c}") - F.col(c)) * percent, 100)).otherwise(F.col(c))
     return on.select("idx", *[moved(c).alias(c) for c in RGB])
 
@@ -38,7 +38,7 @@ def cycle(palette: DataFrame, cyclers: DataFrame) -> DataFrame:
     slots = cyclers.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select((F.col("first") + F.col("j")).alias("idx"), (F.col("first") + F.pmod(F.col("shift") + F.col("j"), F.col("n"))).alias("_from"))
     slots = slots.groupBy("idx").agg(F.count("*").alias("_n"), F.first("_from").alias("_from"))
     slots = slots.withColumn("_from", F.when(F.col("_n") > 1, F.raise_error(F.lit("cyclers overlap")).cast("int")).otherwise(F.col("_from"))).drop("_n")
-    on = palette.join(F.broadcast(slots), "idx", "left").select("idx", F.coalesce("_from", "idx").alias("_from"))
+    on = palette.join(slots, "idx", "left").select("idx", F.coalesce("_from", "idx").alias("_from"))
     return on.join(palette.withColumnRenamed("idx", "_from"), "_from").select("idx", *RGB)
 
 
@@ -52,7 +52,7 @@ def gamma(palette: DataFrame, table: DataFrame) -> DataFrame:
     """Each channel through a table (value, to)."""
     out = palette
     for c in RGB:
-        t = F.broadcast(table.select(F.col("value").alias(c), F.col("to").alias(f"_{c}")))  # 256 rows
+        t = table.select(F.col("value").alias(c), F.col("to").alias(f"_{c}"))
         out = out.join(t, c).drop(c).withColumnRenamed(f"_{c}", c)
     return out.select("idx", *RGB)
 
@@ -68,8 +68,9 @@ def remap_range(idx: Column, first: int, last: int, base: int) -> Column:
 
 
 def remap_percent(palette: DataFrame, percent: int) -> DataFrame:
-    """Each colour scaled to percent, then the index of the nearest colour (squared distance, the lowest index on ties): idx, to."""
-    other = F.broadcast(palette.select(F.col("idx").alias("to"), *[F.col(c).alias(f"_{c}") for c in RGB]))  # at most 256 x 256 pairs
-    scaled = palette.select("idx", *[truncated(F.col(c) * percent, 100).alias(c) for c in RGB])
-    distance = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in RGB), F.lit(0))
-    return scaled.crossJoin(other).groupBy("idx").agg(F.min_by("to", F.struct(distance, F.col("to"))).alias("to"))
+    """Each colour scaled to percent, then the index of the nearest colour (squared distance, the lowest index on ties): idx, to. The colours, one for each index from 0 to 255, are one value beside each row, so no two tables are crossed."""
+    one = palette.where(F.col("idx").between(0, 255)).groupBy("idx").agg(*[F.first(c).alias(c) for c in RGB])
+    colours = one.agg(F.collect_list(F.struct("idx", *RGB)).alias("colours")).scalar()
+    scaled = palette.select("idx", *[truncated(F.col(c) * percent, 100).alias(c) for c in RGB], colours.alias("_colours"))
+    distance = lambda p: sum(((F.col(c) - p[c]) * (F.col(c) - p[c]) for c in RGB), F.lit(0))
+    return scaled.select("idx", F.array_min(F.transform("_colours", lambda p: F.struct(distance(p).alias("d"), p["idx"].alias("to"))))["to"].alias("to"))

@@ -19,9 +19,8 @@ def classify_pixel(idx: Column, platform: str = "pc") -> Column:
 
 
 def apply_palette(pixels: DataFrame, palette: DataFrame, keys: tuple[str, ...] = ("idx",)) -> DataFrame:
-    """pixels with r, g, b. A palette has at most 256 rows; with a clip_id among keys it is a table of its own size, and the optimizer chooses."""
-    small = palette.select(*keys, "r", "g", "b")
-    return pixels.join(F.broadcast(small) if tuple(keys) == ("idx",) else small, list(keys))
+    """pixels with r, g, b, by an equi-join; what is broadcast is left to the sizes that the optimizer knows."""
+    return pixels.join(palette.select(*keys, "r", "g", "b"), list(keys))
 
 
 def split_layers(coloured: DataFrame, variant: str = "A", platform: str = "pc") -> DataFrame:
