@@ -91,16 +91,16 @@ def thresholds(stats: DataFrame, width: float = 5.0, least: int = 30, accuracy:
     """Per (lang, source) of the written table stats: low_* and high_* of each metric. Documents that fail the base rules set no thresholds."""
     values = stats.where(~base_failed()).select("lang", "source", *[c.alias(m) for m, c in metrics(prior=True).items()])
     sketch = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in METRICS]
-
-    def level(*by: str) -> DataFrame:
-        return values.groupBy(*by).agg(F.count("*").alias("n"), *sketch)
-
-    groups = level("lang", "source")
-    languages = level("lang").select(F.col("lang").alias("_l"), F.col("n").alias("_ln"), *[F.col(m).alias(f"_l_{m}") for m in METRICS])
-    corpus = values.agg(*sketch).first()  # one row
+    # one aggregation for groups, languages and the corpus: each task's sketches are merged at all three levels
+    sets = [[F.col("lang"), F.col("source")], [F.col("lang")], []]
+    merged = values.groupingSets(sets, F.col("lang"), F.col("source")).agg(F.grouping_id("lang", "source").alias("_level"), F.count("*").alias("n"), *sketch)
+    merged = saved(merged, "sketches")  # a row a group
+    groups = merged.where("_level = 0").drop("_level")
+    languages = merged.where("_level = 1").select("lang", F.col("n").alias("_ln"), *[F.col(m).alias(f"_l_{m}") for m in METRICS])
+    corpus = merged.where("_level = 3").select(*METRICS).first() or dict.fromkeys(METRICS)  # one row, none if nothing passes
     every = stats.select("lang", "source").distinct()
     found = lookup(every, groups, ["lang", "source"])
-    found = lookup(found, languages.withColumnRenamed("_l", "lang"), ["lang"])
+    found = lookup(found, languages, ["lang"])
     out = []
     for m, (_, _, _, low, high) in METRICS.items():
         q = F.when(F.col("n") >= least, F.col(m)).when(F.col("_ln") >= least, F.col(f"_l_{m}")).otherwise(F.lit(corpus[m]).cast("array<double>"))
