@@ -122,6 +122,12 @@ def lookup(big: DataFrame, table: DataFrame, keys: list[str], limit: int = 200_0
     return salted.join(right, on, "left").drop(*drop, "_salt", "_salt2")
 
 
+def range_parts(df: DataFrame, rows_each: int) -> list[int]:
+    """How many ranges df is cut into: none is given, so that the session's setting holds, unless that many would have more rows than rows_each."""
+    n = -(-df.count() // rows_each)
+    return [n] if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 def runs_of(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of together about most characters; a longer text has a range to itself."""
     return runs_by([len(t) if t else 0 for t in texts], most)

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, ready, runs_by, saved
+from .common import drop, range_parts, ready, runs_by, saved
 
 #: Elements without article text, elements that end a block, elements without an end tag.
 SILENT = frozenset("script style noscript template iframe object embed svg canvas nav header footer aside form button select textarea dialog menu title head".split())
@@ -324,7 +324,7 @@ def main_text(pages: DataFrame, unpacked: int = 64_000_000) -> DataFrame:
     order = ["host", "path", "page_id", "k", "k2"]
     narrow = named.select("k", "k2", "page_id", "host", "path", "html").mapInArrow(outline, f"k long, k2 long, page_id {kind}, host string, path string, hashes binary, boxes binary")
     narrow = saved(narrow, "outlines")
-    dealt = saved(narrow.dropDuplicates(["k", "k2"]).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "dealt")
+    dealt = saved(narrow.dropDuplicates(["k", "k2"]).repartitionByRange(*range_parts(narrow, 200_000), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "dealt")
     drop(narrow)
     by = Window.partitionBy("part").orderBy(*order)
     side = F.struct("host", "path", "hashes", "boxes")

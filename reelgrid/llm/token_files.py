@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import ready, runs_of, scratch, text_hash
+from .common import range_parts, ready, runs_of, scratch, text_hash
 from .tokens import encoder
 
 NULL_ID = -(1 << 63)
@@ -76,7 +76,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, unit: str =
         yield pa.RecordBatch.from_pylist([{"part": part, "n_docs": docs_n, "n_tokens": at, "width": enc.dtype.itemsize}], schema=pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("h"))
-    dealt = rows.repartitionByRange(*([parts] if parts else []), F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
+    dealt = rows.repartitionByRange(*([parts] if parts else range_parts(docs, 100_000)), F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
     dealt.mapInArrow(work, "part int, n_docs long, n_tokens long, width int").write.parquet(f"{folder}/parts")
     found = spark.read.parquet(f"{folder}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
