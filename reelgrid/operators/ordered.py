@@ -115,21 +115,19 @@ def monotone_valid(rows: DataFrame, by: list[str], order: list[str], base: Colum
     return seen.withColumn("valid", base & ((F.col(offset) == 0) | (F.col(offset) >= top))).drop("_top")
 
 
-def lookback_args(events: DataFrame, by: list[str], order: list[str], trigger: Column, push: Column, value: Column, argc: Column, span: int = 50, mode: str = "compat") -> DataFrame:
-    """Calls with their arguments: for a trigger, pushes among the span rows before it, as many as argc, read backwards.
+def lookback_args(events: DataFrame, by: list[str], pos: str, trigger: Column, push: Column, value: Column, argc: Column, span: int = 50, mode: str = "compat") -> DataFrame:
+    """Calls with their arguments: for a trigger, pushes among the span places before it, as many as argc, read backwards.
 
     compat takes the oldest pushes of the span, spec the nearest. At least five must be there. Adds id, x, y, priority, scale.
+    Triggers meet pushes by an equi-join over buckets of places: nothing is listed for other rows.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-span, -1)
-    # sequences without a trigger are dropped before the wide window
-    some = F.max(F.when(trigger, 1).otherwise(0)).over(Window.partitionBy(*by))
-    live = events.withColumn("_some", some).where("_some = 1").drop("_some")
-    pushes = F.collect_list(F.when(push, value)).over(w)
-    calls = live.withColumn("_p", pushes).withColumn("_argc", argc).where(trigger)
+    calls = events.where(trigger).select(*by, F.col(pos).alias("_at"), argc.alias("_argc"))
+    pushes = events.where(push).select(*by, F.col(pos).alias("p"), value.alias("v")).where("v is not null")
+    listed = around(calls, pushes, by, "_at", "p", span, -1).groupBy(*by, "_at", "_argc").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda x: x["v"]).alias("_p"))
     taken = F.slice("_p", F.lit(1), F.col("_argc")) if mode == "compat" else F.slice("_p", F.greatest(F.lit(1), F.size("_p") - F.col("_argc") + 1), F.col("_argc"))
-    calls = calls.withColumn("_a", F.reverse(taken)).where(F.size("_a") >= 5)
+    calls = listed.withColumn("_a", F.reverse(taken)).where(F.size("_a") >= 5)
     at = lambda i: F.element_at("_a", i + 1)
-    return calls.select(*by, *order, at(0).alias("id"), at(3).alias("x"), at(4).alias("y"), at(2).alias("priority"), F.coalesce(F.get("_a", F.lit(5)), F.lit(128).cast(calls.schema["_a"].dataType.elementType)).alias("scale"))
+    return calls.select(*by, F.col("_at").alias(pos), at(0).alias("id"), at(3).alias("x"), at(4).alias("y"), at(2).alias("priority"), F.coalesce(F.get("_a", F.lit(5)), F.lit(128).cast(calls.schema["_a"].dataType.elementType)).alias("scale"))
 
 
 def pair_with_preceding_id(seq: DataFrame, by: list[str], pos: str = "pos", value: str = "value", span: int = 10, tail: int = 5, bucket_rows: int = BUCKET) -> DataFrame:
@@ -185,7 +183,7 @@ def thin(rows: DataFrame, first: int = 5, every: int = 10, index: str = "frame_n
 
 def thin_valid(rows: DataFrame, by: list[str], order: list[str], valid: Column, first: int = 10, every: int = 10, index: str = "frame_no") -> DataFrame:
     """Valid rows: the first ten of them, and those at every tenth index."""
-    ok = rows.where(valid).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    ok = ranked(rows.where(valid), by, order, out="_n")
     return ok.where((F.col("_n") <= first) | (F.col(index) % every == 0)).drop("_n")
 
 

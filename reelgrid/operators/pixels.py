@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import align_up, wrap
+from .ordered import scan
 
 SKIP = 255
 REMAP_FROM = {"pc": 236, "mac": 237}
@@ -119,8 +120,7 @@ def expand_rows(rows: DataFrame, height: Column, scale: Column, row: str = "k")
 
 def expand_runs(runs: DataFrame, keys: list[str], count: str = "count", order: str = "ord") -> DataFrame:
     """Runs (order, value, count) to single values at places pos."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    at = runs.where(F.col(count) > 0).withColumn("_at", F.coalesce(F.sum(count).over(before), F.lit(0).cast("bigint")))
+    at = scan(runs.where(F.col(count) > 0), keys, [order], count, "sum", before=True, out="_at").withColumn("_at", F.coalesce("_at", F.lit(0).cast("bigint")))
     return at.withColumn("pos", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col(count) - 1))).select(*keys, "pos", "value")
 
 

@@ -518,7 +518,7 @@ a AS (SELECT stream, pos, list_reverse({pick}) AS a FROM l WHERE op = 'purchase'
 
 
 def _lookback(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    return ordered.lookback_args(fx.events(spark, d), ["stream"], ["pos"], c("op") == "purchase", c("op") == "click", c("value"), 4 + c("k") % 3, mode=mode)
+    return ordered.lookback_args(fx.events(spark, d), ["stream"], "pos", c("op") == "purchase", c("op") == "click", c("value"), 4 + c("k") % 3, mode=mode)
 
 
 @query(_lookback_sql("p[1:argc]"))

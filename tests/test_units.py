@@ -106,7 +106,7 @@ def test_lookback_follows_a_scan(spark):
             if len(got) >= 5:
                 want.append((i, got[0], got[3], got[4], got[2], got[5] if len(got) > 5 else 128))
     df = spark.createDataFrame([(1, i, ops[i], vals[i], argc[i]) for i in range(len(ops))], "s int, pos int, op string, v int, n int")
-    got = ordered.lookback_args(df, ["s"], ["pos"], c("op") == "call", c("op") == "push", c("v"), c("n")).orderBy("pos").collect()
+    got = ordered.lookback_args(df, ["s"], "pos", c("op") == "call", c("op") == "push", c("v"), c("n")).orderBy("pos").collect()
     assert [tuple(r)[1:] for r in got] == want and want
 
 
