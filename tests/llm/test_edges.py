@@ -406,6 +406,26 @@ def test_url_trees_on_held_out_urls(spark):
     assert right >= 0.9 > constant
 
 
+def test_url_trees_learn_from_all_ruled_urls(spark):
+    """The only blocked URLs are those of greatest hash, which a bounded sample by hash would leave out."""
+    allowed = spark.range(10_500).select(F.format_string("http://a%d.org.com/name", "id").alias("url"))
+    blocked = spark.range(2_000).select(F.format_string("http://b%d.de.com/%012d", "id", F.col("id") * 7919).alias("url")).orderBy(F.xxhash64("url").desc()).limit(20)
+    rest = spark.createDataFrame([("http://c1234.xy.net/000123456789",), ("http://c2345.xyz.net/name",)], "url string")
+    df = allowed.union(blocked).union(rest).withColumn("page_id", F.xxhash64("url"))
+    out = {r["verdict"]: r for r in url_filter.verdicts(df, [("de.com/", "block"), ("org.com/", "allow")]).where("host like 'c%'").collect()}
+    assert out["block"]["host"] == "c1234.xy.net" and out["allow"]["host"] == "c2345.xyz.net"
+    assert out["block"]["block_score"] > 0.5 > out["allow"]["block_score"]
+
+
+def test_url_bins(spark):
+    """Every value of a feature of few values is a bin, however rare; others are cut at the quantiles of all rows."""
+    others = [F.lit(3.0).alias(f) for f in url_filter.FEATURES[2:]]
+    df = spark.range(6401).select((F.col("id") == 6400).cast("double").alias("url_len"), F.col("id").cast("double").alias("host_len"), *others)
+    cuts = url_filter.cuts(df)
+    assert cuts[0] == [1.0] and cuts[1] == [200.0 * k for k in range(1, 32)] and cuts[2] == [3.0]
+    assert all(url_filter.bins_to_see_all(n) ** 2 >= n for n in (1, 5_000, 10**6, 2 * 10**9)) and url_filter.bins_to_see_all(10**12) ** 2 < 2**31
+
+
 def test_url_features(spark):
     from collections import Counter
     from math import log2
