@@ -17,7 +17,7 @@ for itself. Extra columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -31,6 +31,16 @@ from .common import drop, ready, saved, text_hash
 RADIUS = 4
 
 
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The fingerprint of 64-bit hashes that come in pieces: a bit is 1 if it is set in over half of them; without hashes 0."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    bits = np.packbits(2 * counts > n, bitorder="little")
+    return int(bits.view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, width: int = 4, seed: int = 42, at_once: int = 1 << 16) -> int:
     """The SimHash of a whole text's word shingles, repeats included, as an unsigned 64-bit integer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -39,15 +49,15 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42, at_once: int =
     joined = b" ".join(words)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     n = max(1, len(words) - width + 1)
-    counts = np.zeros(64, np.int64)
-    for a in range(0, n, at_once):
-        b = min(n, a + at_once)
-        ends = [starts[i + width] - 1 for i in range(a, b)] if len(words) >= width else [len(joined)]
-        cut = map(joined.__getitem__, map(slice, starts[a:b], ends))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(seed)), np.uint64, b - a)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > n, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+
+    def pieces() -> Iterator[np.ndarray]:
+        for a in range(0, n, at_once):
+            b = min(n, a + at_once)
+            ends = [starts[i + width] - 1 for i in range(a, b)] if len(words) >= width else [len(joined)]
+            cut = map(joined.__getitem__, map(slice, starts[a:b], ends))
+            yield np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(seed)), np.uint64, b - a)
+
+    return majority(pieces())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
 """Near copies by shared runs of words: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-No pair is missed: two such sets share one of the least n - ceil(0.8 n) + 1 shingles of each, whatever the order. The order is
+First by SimHash, as in simhash: sets whose fingerprints are within 4 of 64 bits meet by ball hashing, and those that the exact
+check finds similar are linked. Sets at a similarity of 0.8 differ in about 10 bits, so the rest of the links are found by an
+exact join, which compares only sets that are not in one component yet.
+
+That join misses no pair: two such sets share one of the least n - ceil(0.8 n) + 1 shingles of each, whatever the order. The order is
 by rarity (counts of hashed shingles, of a fixed size), so that common passages come last and few pairs meet there. Pairs that
 meet and whose sizes and places allow 0.8 are checked on the whole sets (48 bits a shingle). Where more than crowd sets meet, all
 of them are first compared with the crowd sets that have the fewest rarer shingles, as texts have that others are edited
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, ready, saved, small, text_hash
-from .simhash import components, rows_named
+from .simhash import components, links, majority, rows_named
 
 WIDTH = 5
 #: Least similarity, as a fraction.
@@ -62,24 +66,25 @@ def _alike(n: np.ndarray, m: np.ndarray, both: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, h, node (names the set of shingles), and how many texts have a shingle of each bucket."""
+    """doc_id, h, node (names the set of shingles), fp (its SimHash fingerprint), and how many texts have a shingle of each bucket."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names, width = ["doc_id", "h", "node", "slice", "counts"], BUCKETS // SLICES
+    names, width = ["doc_id", "h", "node", "fp", "slice", "counts"], BUCKETS // SLICES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_type = np.zeros(BUCKETS, np.int64), None
         for batch in batches:
-            id_type, nodes = batch.column(0).type, []
+            id_type, nodes, fps = batch.column(0).type, [], []
             for t in batch.column(2).to_pylist():
                 own = shingles(t)
                 nodes.append(_node(own))
+                fps.append(majority(own[a : a + (1 << 16)] for a in range(0, len(own), 1 << 16)))
                 np.add.at(counts, _bucket(own), 1)
             n = len(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if id_type is not None:
             # SLICES more rows a task
             parts = [c.tobytes() for c in counts.reshape(SLICES, width)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), *[pa.nulls(SLICES, pa.int64())] * 2, pa.array(range(SLICES), pa.int32()), pa.array(parts)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), *[pa.nulls(SLICES, pa.int64())] * 3, pa.array(range(SLICES), pa.int32()), pa.array(parts)], names=names)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
@@ -89,7 +94,7 @@ def _prints(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 counts[at] += np.frombuffer(one.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int32()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], names=["slice", "counts"])
 
-    both = saved(docs.select("doc_id", text_hash().alias("h"), F.col("text").cast("string")).mapInArrow(work, f"doc_id {kind}, h long, node long, slice int, counts binary"), "prints")
+    both = saved(docs.select("doc_id", text_hash().alias("h"), F.col("text").cast("string")).mapInArrow(work, f"doc_id {kind}, h long, node long, fp long, slice int, counts binary"), "prints")
     slices = both.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(total, "slice int, counts binary")
     counts = np.zeros((SLICES, width), np.int64)
     for r in slices.collect():  # a row a slice
@@ -99,6 +104,18 @@ def _prints(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return prints, np.minimum(counts.ravel(), 2**32 - 1).astype(np.uint32)
 
 
+def _near(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) to check by SimHash: they join all sets whose fingerprints are linked, equal ones among them."""
+    # written before the joins, so that adaptive execution can split a fingerprint of many sets
+    firsts = saved(nodes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    equal = nodes.join(firsts, "fp").where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    linked = links(firsts.select("fp")).join(side("u"), "u").join(side("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    near = _distinct(equal.unionByName(linked))
+    drop(firsts)
+    return near
+
+
 def _parts(counts: np.ndarray, crowd: int, split: int) -> np.ndarray:
     """Into how many parts each bucket's shingles are dealt (0: they stay whole): so that a part and the parts' central members are of one size.
 
@@ -282,21 +299,33 @@ def _checked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return saved(both.mapInArrow(check, "u long, v long"), "alike")
 
 
+def _unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of pairs that are not in one component yet."""
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    both = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
+    return saved(both.where("u_root is null or v_root is null or u_root != v_root").select("u", "v"), "rest")
+
+
 def one_each(docs: DataFrame, crowd: int = 16, split: int = 1024, block: int = 512) -> DataFrame:
     """docs with one row of each component of similar texts: that of the least doc_id."""
     ready(docs.sparkSession)
     prints, counts = _prints(docs)
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("lead")
-    nodes = saved(prints.groupBy("node").agg(lead), "nodes")
+    nodes = saved(prints.groupBy("node").agg(lead, F.min("fp").alias("fp")), "nodes")
     drop(prints)
+    near = _near(nodes)
     met = _met(_prefixes(docs, counts, crowd, split), crowd)
     pairs, crowded = met.where("v is not null").select("u", "v"), met.where("v is null").select("u", "key", "n", "pos", "parts")
     dealt = crowded.where("parts > 0")
     if not dealt.isEmpty():
         pairs = pairs.unionByName(_centred(dealt, crowd))
     pairs = _distinct(pairs)
-    sets = _sets(docs, nodes, _ends(pairs).union(crowded.select(F.col("u").alias("node"))).distinct())
-    alike = _checked(sets, pairs)
+    sets = _sets(docs, nodes, _ends(pairs).union(_ends(near)).union(crowded.select(F.col("u").alias("node"))).distinct())
+    alike = _checked(sets, near)
+    if not alike.isEmpty():
+        found, pairs = pairs, _unlinked(pairs, components(alike))
+        drop(found)
+    alike = alike.unionByName(_checked(sets, pairs))
     roots = components(alike)
     if not crowded.isEmpty():
         more = _distinct(_apart(crowded.drop("parts"), roots, block))
@@ -307,7 +336,7 @@ def one_each(docs: DataFrame, crowd: int = 16, split: int = 1024, block: int = 5
         drop(more)
         if not again.isEmpty():
             roots = components(alike.unionByName(again))
-    for table in (sets, pairs):
+    for table in (sets, near, pairs):
         drop(table)
     drop(met)
     best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("lead").alias("lead"))

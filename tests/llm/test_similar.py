@@ -7,7 +7,7 @@ import pytest
 from tests.conftest import SF001
 from tests.llm import brute
 
-from reelgrid.llm import similar
+from reelgrid.llm import similar, simhash
 
 
 kept = brute.near_copies
@@ -62,3 +62,61 @@ def test_blocks_find_each_pair_once(spark):
     for block in (4, 512):
         got = similar._apart(spark.createDataFrame(members, "key long, n long, u long, pos long"), spark.createDataFrame(roots, "node long, root long"), block)
         assert {tuple(sorted((r["u"], r["v"]))) for r in got.collect()} == want
+
+
+def groups(pairs):
+    """Each node's group of those that pairs connect."""
+    of = {}
+    for u, v in pairs:
+        both = of.setdefault(u, {u}) | of.setdefault(v, {v})
+        of |= dict.fromkeys(both, both)
+    return {frozenset(g) for g in of.values()}
+
+
+def test_first_links_are_by_fingerprints(spark):
+    """SimHash over the sets of shingles: _near joins just what all pairs of fingerprints within 4 bits join, copies of a fingerprint too."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(30):
+        base = rng.choices(words, k=300)
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(300)] = rng.choice(words)
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    similar.ready(spark)
+    prints = {r["node"]: r["fp"] for r in similar._prints(docs)[0].collect()}
+    sets = {similar._node(s): s for s in map(similar.shingles, texts)}
+    for node, fp in prints.items():
+        bits = [sum(int(h) >> b & 1 for h in sets[node]) * 2 > len(sets[node]) for b in range(64)]
+        assert fp % 2**64 == sum(x << b for b, x in enumerate(bits))
+    # two sets of one fingerprint, and one bit from a third
+    prints |= {-1: 77, -2: 77, -3: 76, -4: -(2**63)}
+    nodes = spark.createDataFrame(list(prints.items()), "node long, fp long")
+    got = [(r["u"], r["v"]) for r in similar._near(nodes).collect()]
+    everyone = sorted(prints)
+    want = [(a, b) for i, a in enumerate(everyone) for b in everyone[i + 1 :] if (prints[a] % 2**64 ^ prints[b] % 2**64).bit_count() <= simhash.RADIUS]
+    assert len(want) > 30 and groups(got) == groups(want)
+
+
+def test_stage_links_by_simhash_first_and_checks_exactly(spark, monkeypatch):
+    """What SimHash links goes through the exact check, and the exact join compares only what is not linked by then."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = [(0, " ".join(base))] + [(k, " ".join([*base[: 100 * k - 100], f"x{k}", *base[100 * k - 99 :]])) for k in range(1, 5)]
+    rows += [(9, " ".join(f"w{rng.randrange(5000)}" for _ in range(200)))]
+    compared, own = [], similar._checked
+    monkeypatch.setattr(similar, "_checked", lambda sets, pairs: compared.append([(r["u"], r["v"]) for r in pairs.collect()]) or own(sets, pairs))
+    node = {d: similar._node(similar.shingles(t)) for d, t in rows}
+    # SimHash is made to name a pair of different texts too
+    false = tuple(sorted((node[0], node[9])))
+    near = similar._near
+    monkeypatch.setattr(similar, "_near", lambda nodes: similar._distinct(near(nodes).unionByName(spark.createDataFrame([false], "u long, v long"))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in similar.one_each(df).collect()) == kept(rows) == [0, 9]
+    first, rest = compared[:2]
+    assert false in first and len(first) > 1
+    linked = [g for g in groups(p for p in first if p != false)]
+    assert not any({u, v} <= g for u, v in rest for g in linked)
