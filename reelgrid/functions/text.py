@@ -42,5 +42,13 @@ def parse_size(text: Column) -> tuple[Column, Column]:
     return number(1), number(2)
 
 
+def whole(value: Column) -> Column:
+    """The greatest whole number up to a value. NaN and what 64 bits don't hold is an error, where floor() gives 0 or the nearest bound."""
+    fits = value.isNull() | ((value >= -(2.0**63)) & (value < 2.0**63))
+    return F.when(fits, F.floor(value)).otherwise(F.raise_error(F.concat(F.lit("not a 64-bit number: "), value.cast("string"))))
+
+
 def number_list(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda v: v.cast("string")), ",")
+    """Numbers joined by commas. Nulls are left out; the list of nulls alone is null, the empty one empty."""
+    listed = F.array_join(F.transform(values, lambda v: v.cast("string")), ",")
+    return F.when((F.size(values) == 0) | F.exists(values, lambda v: v.isNotNull()), listed)

@@ -735,7 +735,7 @@ def fn08_parse_size(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT label, vec_id, array_to_string([CAST(floor(v * 100) AS BIGINT) FOR v IN embedding], ',') AS listed FROM embeddings")
 def fn09_number_list(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "embeddings").select("label", "vec_id", ft.number_list(F.transform("embedding", lambda v: F.floor(v * 100))).alias("listed"))
+    return fx.table(spark, d, "embeddings").select("label", "vec_id", ft.number_list(F.transform("embedding", lambda v: ft.whole(v * F.lit(100).cast("float")))).alias("listed"))
 
 
 @query(f"WITH {fx.CELS} SELECT clip_id, frame_no, cel_no, CAST(trunc((640 - w) / 2.0) AS BIGINT) AS cx, CAST(trunc((480 - h) / 2.0) AS BIGINT) AS cy FROM cels")
