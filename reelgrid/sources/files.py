@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ..functions.bytes import big, little, part, s16, s32, u8, u16, u24, u32
+from ..functions.bytes import big, first_u16, little, part, s16, s32, u8, u16, u24, u32
 from ..functions.codes import remap_code
 from ..functions.text import file_name, key_from_path
 from ..operators.durable import durable
@@ -68,26 +68,37 @@ def last_positions(positions: DataFrame) -> DataFrame:
     return positions.groupBy("clip_id").agg(last.alias("_last")).select("clip_id", "_last.*")
 
 
+def _one_value(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once for a row, even where the optimizer puts the expression of a column in its name's place: else each turn of a lambda in f works it out anew."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def read_directory(maps: DataFrame) -> DataFrame:
-    """The section directory of index shards: volume, ord, type, offset, up to and with the terminator (type 31)."""
+    """The section directory of index shards: volume, ord, type, offset, up to and with the terminator (type 31). The terminator is looked for once, and nothing is read behind it."""
+
+    def entries(c: Column) -> Column:
+        last = F.floor(F.length(c) / 3) - 1
+        end = first_u16(c, 0, (3 * last).cast("int"), lambda v, p: (v.bitwiseAND(F.lit(31)) == 31) & (p % 3 == 0))
+        entry = lambda i: F.struct(i.alias("ord"), u8(c, 3 * i).bitwiseAND(F.lit(31)).alias("type"), little(c, 3 * i + 1, 2).alias("offset"))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.floor(end / 3), last)), entry))
+
     c = F.col("content")
-    n = F.floor(F.length(c) / 3)
-    entries = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("ord"), u8(c, 3 * i).bitwiseAND(F.lit(31)).alias("type"), little(c, 3 * i + 1, 2).alias("offset")))
-    stop = F.coalesce(F.get(F.filter(entries, lambda e: e["type"] == 31), F.lit(0))["ord"], n)
-    rows = maps.where(F.length(c) >= 3).select("volume", F.length(c).cast("bigint").alias("file_size"), F.explode(F.filter(entries, lambda e: e["ord"] <= stop)).alias("e"))
+    rows = maps.where(F.length(c) >= 3).select("volume", F.length(c).cast("bigint").alias("file_size"), F.explode(_one_value(c, entries)).alias("e"))
     return rows.select("volume", "file_size", "e.*")
 
 
 def explode_fixed_records(maps: DataFrame, sections: DataFrame, width: DataFrame) -> DataFrame:
-    """Records of index shards: type, number, offset, volume, rec (section), rec2 (record). sections: volume, type, offset, size (the last of a type counts); width: volume, width."""
+    """Records of index shards: type, number, offset, volume, rec (section), rec2 (record). sections: volume, type, offset, size (the last of a type counts); width: volume, width. A record's row never carries its file's bytes."""
     kept = sections.where((F.col("type") <= 21) & (F.col("offset") < F.col("file_size"))).groupBy("volume", "type").agg(F.max_by(F.struct("offset", "size"), "ord").alias("s"))
     rows = maps.select("volume", "content").join(kept, "volume").join(width, "volume")
     c, w, start = F.col("content"), F.col("width"), F.col("s.offset")
     n = F.least(F.floor(F.col("s.size") / w), F.floor((F.length(c) - start) / w))
-    rows = rows.where(n > 0).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
-    at = start + F.col("i") * w
-    offset = F.when(w == 5, u24(c, at + 2)).otherwise(u32(c, at + 2))
-    return rows.select(remap_code(F.col("type")).alias("type"), u16(c, at).alias("number"), offset.alias("offset"), "volume", F.col("type").alias("rec"), F.col("i").alias("rec2"))
+    record = lambda b, i: F.struct(i.alias("i"), u16(b, i * w).alias("number"), F.when(w == 5, u24(b, i * w + 2)).otherwise(u32(b, i * w + 2)).alias("offset"))
+    # six bytes more than the records have, for a width that is less than what is read of one
+    piece = F.substring(c, (start + 1).cast("int"), (n * w + 6).cast("int"))
+    listed = _one_value(piece, lambda b: F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: record(b, i)))
+    rows = rows.where(n > 0).select("volume", F.col("type").alias("rec"), F.explode(listed).alias("r"))
+    return rows.select(remap_code(F.col("rec")).alias("type"), "r.number", "r.offset", "volume", "rec", F.col("r.i").alias("rec2"))
 
 
 def decode_header(clips: DataFrame, versions: tuple[int, int] = (5, 6)) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -197,6 +198,24 @@ def test_chain_equals_the_fold(spark):
     assert sorted((r["k"], r["rec"], r["pos"]) for r in out.collect()) == sorted(tuple(r) for r in fold) and len(fold) >= 300
 
 
+@pytest.mark.parametrize("ended", [True, False])
+def test_long_shard_is_read_in_proportion(spark, ended):
+    """9,000 directory entries, or a short directory and 9,000 records behind it, from an expression; each entry once looked through all of them."""
+    n = 9000
+    directory = b"".join(struct.pack("<BH", 0x80 | i % 22, i) for i in range(n)) if not ended else struct.pack("<BHBH", 0x83, 6, 0xFF, 6 + 6 * n)
+    body = b"".join(struct.pack("<HI", i, 70_000 * i) for i in range(n)) if ended else b""
+    df = spark.createDataFrame([(1, (directory + body).hex()), (2, "FF0300"), (3, "FF")], "volume int, digits string").select("volume", F.unhex("digits").alias("content"))
+    began = time.monotonic()
+    out = files.read_directory(df)
+    found = sorted(tuple(r) for r in out.select("volume", "ord", "type", "offset").collect() if r["volume"] == 1)
+    assert found == ([(1, 0, 3, 6), (1, 1, 31, 6 + 6 * n)] if ended else [(1, i, i % 22, i) for i in range(n)])
+    if ended:
+        sections = ordered.section_sizes(out, ["volume"], ["ord"], c("file_size")).where("type <> 31")
+        records = files.explode_fixed_records(df, sections, df.select("volume", F.lit(6).alias("width"))).collect()
+        assert sorted((r["type"], r["number"], r["offset"], r["volume"], r["rec"], r["rec2"]) for r in records) == [(0x83, i, 70_000 * i, 1, 3, i) for i in range(n)]
+    assert time.monotonic() - began < 40
+
+
 def test_volume_is_read_by_ranges(spark, tmp_path):
     path, n, size = tmp_path / "RESSCI.001", 400, 500_000
     with path.open("wb") as f:  # 200 MB
