@@ -887,11 +887,20 @@ def src10_explode_chained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chained(spark: SparkSession, d: str) -> DataFrame:
-    """clip_id and content: a count and then all of a clip's cels with their data, one behind another."""
-    ds = c("chunks") % 40
-    one = F.concat(F.lit("0064"), _le(c("w"), 2), _le(c("h"), 2), F.lit("00000000"), _le(c("x"), 2), _le(c("y"), 2), _le(ds, 2), _le(F.lit(1), 2), F.lit("00000000"), F.repeat(F.lit("AB"), ds.cast("int")))
-    frames = fx.cels(spark, d).select("clip_id", "frame_no", "cel_no", one.alias("hex")).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "cel_no", "hex"))).alias("s"))
-    return frames.select("clip_id", F.unhex(F.concat(_le(F.size("s"), 2), F.concat_ws("", F.transform("s", lambda x: x["hex"])))).alias("content"))
+    """clip_id and content: a count and then all of a clip's cels with their data, one behind another.
+
+    Cels in the order of frame_no and cel_no (fixtures.cels): those that differ in neither key nor l_quantity have the same bytes, so
+    their order does not matter, and rows move once, with four numbers beside the key.
+    """
+    cels = F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+
+    def one(r: F.Column) -> F.Column:
+        w, h, x, y = r["l_partkey"] * 3 % 660, r["l_suppkey"] * 5 % 490, r["l_partkey"] % 720 - 40, r["l_suppkey"] * 7 % 520 - 30
+        ds = F.floor(r["l_quantity"] * 2 + 3) % 40
+        return F.concat(F.lit("0064"), _le(w, 2), _le(h, 2), F.lit("00000000"), _le(x, 2), _le(y, 2), _le(ds, 2), F.lit("010000000000"), F.repeat(F.lit("AB"), ds.cast("int")))
+
+    content = F.unhex(F.concat(_le(F.size(cels), 2), F.concat_ws("", F.transform(F.array_sort(cels), one))))
+    return fx.table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("clip_id")).agg(content.alias("content"))
 
 
 @query(f"WITH {fx.CLIPS} SELECT clip_id, CAST(i AS INTEGER) AS cue_no, clip_id * 7 + i * 3 - 900 AS t, (clip_id * 31 + i * 257) % 65536 AS v FROM clips, range(256) r(i)")

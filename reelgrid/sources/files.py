@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from ..functions.bytes import big, first_u16, little, part, s16, s32, u8, u16, u24, u32
 from ..functions.codes import remap_code
@@ -189,36 +192,129 @@ def explode_chained(rows: DataFrame, content: Column, first: Column, count: Colu
 
 
 def chain_candidates(rows: DataFrame, by: list[str], content: Column, plausible: Callable[[Column], Column], first: int = 0, header: int = 22, size_at: int = 16, big_endian: Column | bool = False) -> DataFrame:
-    """by, pos, to: each place where a header may begin (plausible, a condition on the place), and where the next one would. A header that would cross the end is no candidate."""
-    length = F.length(content)
-    places = F.when(length >= first + header, F.sequence(F.lit(first), length - header))
-    hits = rows.select(*by, content.alias("_c"), F.explode(F.filter(places, plausible)).alias("pos"))
-    size = u16(F.col("_c"), F.col("pos") + size_at, big_endian)
+    """by, pos, to: each place where a header may begin (plausible, a condition on the place), and where the next one would. A header that would cross the end is no candidate. Places are listed 65,536 at a time."""
+    last = F.length(content) - header
+    stretches = F.when(last >= first, F.sequence(F.lit(first), last, F.lit(1 << 16)))
+    places = F.sequence(F.col("_from"), F.least(F.col("_from") + ((1 << 16) - 1), last))
+    # rows of compiled code: contents are not copied for each place
+    hits = rows.withColumn("_from", F.explode(stretches)).withColumn("pos", F.explode(places)).where(plausible(F.col("pos")))
+    size = u16(content, F.col("pos") + size_at, big_endian)
     return hits.select(*by, F.col("pos").cast("bigint").alias("pos"), (F.col("pos") + header + size).cast("bigint").alias("to"))
 
 
-def follow_chain(links: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
-    """by, pos, rec: the places that a chain goes through from its start (by, pos), numbered from 0, by pointer jumping.
+def follow_chain(links: DataFrame, starts: DataFrame, by: list[str], piece: int = 1 << 12) -> DataFrame:
+    """by, pos, rec: the places that a chain goes through from its start (by, pos), numbered from 0.
 
-    links (by, pos, to) leads from every candidate to its successor. In each round places that are reached send the
-    chain as far again as it has come, and links are joined with themselves to lead twice as far: n records take about
-    log2(n) rounds, whichever task their bytes lie in. A chain ends at a place that is no candidate. Links must lead forward.
+    links (by, pos, to) leads from every candidate to its successor. A sequence's places fall into pieces of that many (a
+    power of two), whichever task their bytes lie in. Links move once, to their piece; there, the chains from starts and
+    from places that links of other pieces lead to are followed to where they leave the piece. Then only pieces are left to
+    follow, by pointer jumping: in each round entries that are reached send the chain as far again as it has come, and
+    hops are joined with themselves to lead twice as far, so n pieces take about log2(n) rounds. A chain ends at a place
+    that is no candidate. Links must lead forward; places are not negative.
     """
-    places = links.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("pos").alias("_pos"))
-
-    def at(left: DataFrame, place: str, right: DataFrame) -> list[Column]:
-        return [*[left[k].eqNullSafe(right[f"_{k}"]) for k in by], left[place] == right["_pos"]]
-
-    first = starts.select(*by, F.col("pos").cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("rec"))
-    reached = durable(first.join(places, at(first, "pos", places), "left_semi"))
-    inner = links.select(*by, "pos", "to")
-    jump, far = durable(inner.join(places, at(inner, "to", places), "left_semi")), 1
-    while not jump.isEmpty():
-        step = jump.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("pos").alias("_pos"), F.col("to").alias("_to"))
-        further = reached.join(step, at(reached, "pos", step)).select(*by, F.col("_to").alias("pos"), (F.col("rec") + far).alias("rec"))
-        jump = durable(jump.join(step, at(jump, "to", step)).select(*by, "pos", F.col("_to").alias("to")))
-        reached, far = durable(reached.unionByName(further)), 2 * far
-    return reached
+    bits = (piece - 1).bit_length()
+    pos, to = F.col("pos").cast("bigint"), F.coalesce(F.col("to").cast("bigint"), F.lit(-1).cast("bigint"))
+    leaves = F.shiftright(pos, bits) != F.shiftright(to, bits)
+    # kinds: 0 a link, in its piece; 1 the place it leads to, in another piece; 2 a start
+    both = links.select(*by, pos.alias("_pos"), to.alias("_to"), F.explode(F.when(leaves, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_kind"))
+    told = both.withColumn("_pos", F.when(F.col("_kind") == 1, F.col("_to")).otherwise(F.col("_pos"))).where("_pos >= 0")
+    told = told.unionByName(starts.select(*by, pos.alias("_pos"), F.lit(-1).cast("bigint").alias("_to"), F.lit(2).alias("_kind")))
+    of = lambda kind, value: F.when(F.col("_kind") == kind, value)
+    lists = [F.collect_list(of(0, F.struct("_pos", "_to"))).alias("_links"), F.collect_set(of(1, F.col("_pos"))).alias("_marks"), F.collect_list(of(2, F.col("_pos"))).alias("_starts")]
+    pieces = told.groupBy(*by, F.shiftright("_pos", bits).alias("_piece")).agg(*lists)
+    kept = [f for f in pieces.schema.fields if f.name in by]
+    names = [f.name for f in kept]
+    schema = StructType([*kept, *[StructField(n, LongType()) for n in ("_pos", "_to")], StructField("_start", BooleanType()), StructField("_at", ArrayType(IntegerType()))])
+    some = 1 << 19
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column("_links")).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                # pieces of together about half a million links
+                n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + some, "right")) - at)
+                yield from hops(batch.slice(at, n))
+                at += n
+
+    def hops(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        number = batch.column("_piece").to_numpy()
+
+        def flat(name: str) -> tuple[pa.Array, np.ndarray]:
+            lists = batch.column(name)
+            return lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+
+        def keyed(of: np.ndarray, place: np.ndarray) -> np.ndarray:
+            return (of << bits) | (place & (piece - 1))
+
+        (found, of), (marks, marked), (begun, began) = flat("_links"), flat("_marks"), flat("_starts")
+        if not len(found):
+            return
+        here, there = (x.to_numpy(zero_copy_only=False) for x in found.flatten())
+        key = keyed(of, here)
+        order = np.argsort(key, kind="stable")
+        key, of, there = key[order], of[order], there[order]
+
+        def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            i = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            return i, key[i] == wanted
+
+        inside = (there >> bits) == number[of]
+        i, hit = find(keyed(of, there))
+        following = np.where(inside & hit, i, -1)
+        entry_of = np.concatenate([marked, began])
+        entry = np.concatenate([marks.to_numpy(zero_copy_only=False), begun.to_numpy(zero_copy_only=False)]).astype(np.int64)
+        now, hit = find(keyed(entry_of, entry))
+        start = (np.arange(len(entry)) >= len(marks))[hit]
+        entry_of, entry, now = entry_of[hit], entry[hit], now[hit]
+        who, last, whose, seen = np.arange(len(entry)), now.copy(), [], []
+        while len(now):
+            if len(seen) > len(key):
+                raise ValueError("links lead in a circle")
+            whose.append(who)
+            seen.append(now)
+            last[who] = now
+            further = following[now]
+            who, now = who[further >= 0], further[further >= 0]
+        if not seen:
+            return
+        whose, seen = np.concatenate(whose), np.concatenate(seen)
+        seen = seen[np.argsort(whose, kind="stable")]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(entry)))]).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(offsets), pa.array((key[seen] & (piece - 1)).astype(np.int32)))
+        rows = pa.array(entry_of)
+        leads = np.where(inside[last], -1, there[last])
+        yield pa.RecordBatch.from_arrays([*[batch.column(n).take(rows) for n in names], pa.array(entry), pa.array(leads), pa.array(start), places], names=[f.name for f in schema.fields])
+
+    ways = durable(pieces.mapInArrow(work, schema))
+    entries = ways.where(~F.col("_start"))
+
+    def meet(left: DataFrame, place: str, right: DataFrame, how: str = "inner") -> DataFrame:
+        other = right.select([F.col(k).alias(f"_{k}" if k in by else k) for k in right.columns])
+        on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_{k}"]) for k in by], left[place] == other["_pos"])
+        return left.join(other, on, how)
+
+    def listed(found: DataFrame, before: Column) -> DataFrame:
+        at = F.shiftleft(F.shiftright("_pos", bits), bits)
+        return found.select(*by, "_pos", before.alias("_before"), F.posexplode("_at").alias("_i", "_offset")).select(*by, (at + F.col("_offset")).alias("pos"), (F.col("_before") + F.col("_i")).alias("rec"))
+
+    n = F.size("_at").cast("bigint")
+    first = ways.where(F.col("_start") & (F.col("_to") >= 0)).select(*by, F.col("_to").alias("pos"), n.alias("rec"))
+    reached = [durable(meet(first, "pos", entries.select(*by, "_pos"), "left_semi"))]
+    if not reached[0].isEmpty():
+        inner = entries.where("_to >= 0").select(*by, "_pos", F.col("_to").alias("to"), n.alias("_n"))
+        jump = durable(meet(inner, "to", entries.select(*by, "_pos"), "left_semi"))
+        while not jump.isEmpty():
+            every = reduce(DataFrame.unionByName, reached)
+            further = durable(meet(every, "pos", jump).select(*by, F.col("to").alias("pos"), (F.col("rec") + F.col("_n")).alias("rec")))
+            if further.isEmpty():
+                break
+            reached.append(further)
+            step = jump.select(*by, "_pos", F.col("to").alias("_further"), F.col("_n").alias("_more"))
+            own = jump.withColumnRenamed("_pos", "pos")
+            jump = durable(meet(own, "to", step).select(*by, F.col("pos").alias("_pos"), F.col("_further").alias("to"), (F.col("_n") + F.col("_more")).alias("_n")))
+    later = meet(reduce(DataFrame.unionByName, reached).select(*by, "pos", "rec"), "pos", entries.select(*by, "_pos", "_at"))
+    return listed(ways.where("_start"), F.lit(0).cast("bigint")).unionByName(listed(later, F.col("rec")))
 
 
 def decode_cels(rows: DataFrame, content: Column, pos: Column, big_endian: Column | bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import random
 import struct
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions import bytes as by
 from reelgrid.functions import codes
-from reelgrid.operators import ordered, pixels, sound
+from reelgrid.operators import durable, ordered, pixels, sound
 from reelgrid.plans import reports
 from reelgrid.sources import files
 
@@ -185,6 +186,48 @@ def test_long_chain_in_few_rounds(spark):
     assert tuple(out.agg(F.count("*"), F.max("rec"), F.sum(F.when(c("pos") == 2 + c("rec") * step, 1)), F.countDistinct("rec")).first()) == (n, n - 1, n, n)
 
 
+def test_chain_in_pieces_equals_a_loop(spark):
+    """Chains across pieces, false candidates that meet them or leave them, repeated and false starts, null keys."""
+    rng = random.Random(3)
+    keys, links = [None, "a", "b", "c"], {}
+    for k in keys[:3]:
+        for p in rng.sample(range(3000), 1100):
+            links[k, p] = p + rng.choice([1, 2, 3, 5, 40, 700])
+    starts = [(k, p) for k in keys for p in (*rng.sample(range(60), 12), 5)] + [("a", 5), ("b", -4)]
+    want = []
+    for k, p in starts:
+        rec = 0
+        while (k, p) in links:
+            want.append((k, p, rec))
+            p, rec = links[k, p], rec + 1
+    rows = spark.createDataFrame([(k, p, to) for (k, p), to in links.items()], "k string, pos int, to int").repartition(5)
+    begun = spark.createDataFrame(starts, "k string, pos int")
+    for piece in (16, 512, 4096):
+        got = files.follow_chain(rows, begun, ["k"], piece)
+        assert sorted((tuple(r) for r in got.select("k", "pos", "rec").collect()), key=repr) == sorted(want, key=repr), piece
+    assert files.follow_chain(rows, begun.where("false"), ["k"]).count() == 0
+    assert files.follow_chain(rows.where("false"), begun, ["k"]).count() == 0
+
+
+def test_links_in_a_circle_are_an_error(spark):
+    links = spark.createDataFrame([(1, 2, 30), (1, 30, 60), (1, 60, 2)], "f int, pos long, to long")
+    with pytest.raises(Exception, match="links lead in a circle"):
+        files.follow_chain(links, spark.createDataFrame([(1, 2)], "f int, pos long"), ["f"]).collect()
+
+
+def test_chains_leave_little_in_the_shared_folder(spark):
+    """40,000 files of 10 records: the links of all rounds together took 40 bytes and more a record."""
+    n = 10
+    size = lambda: sum(p.stat().st_size for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*") if p.is_file())
+    durable.durable(spark.range(1))
+    before = size()
+    files_ = spark.range(40_000).select(c("id").alias("f"))
+    links = files_.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("f", (2 + c("i") * (22 + c("f") % 7)).alias("pos"), (2 + (c("i") + 1) * (22 + c("f") % 7)).alias("to"))
+    out = files.follow_chain(links, files_.select("f", F.lit(2).alias("pos")), ["f"])
+    assert tuple(out.agg(F.count("*"), F.max("rec"), F.sum(F.when(c("pos") == 2 + c("rec") * (22 + c("f") % 7), 1))).first()) == (40_000 * n, n - 1, 40_000 * n)
+    assert (size() - before) / (40_000 * n) < 15
+
+
 def test_chain_equals_the_fold(spark):
     rng = random.Random(1)
     body = b""
